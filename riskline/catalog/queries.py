@@ -95,8 +95,19 @@ def panel(spark, sf, study=STUDY):
     return st.study_panel(study, subjects(spark, sf), procedures(spark, sf))
 
 
+_PANELS: dict[tuple[str, str], DataFrame] = {}
+
+
+def panel_table(spark, sf):
+    """The study panel, built and written once per session and input folder, as analyses read it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _PANELS:
+        _PANELS[key] = written(panel(spark, sf), "panel")
+    return _PANELS[key]
+
+
 def rows(spark, sf, every=EVERY, tolerance=0.25):
-    return pr.apply_protocol(panel(spark, sf), every, tolerance, derived.PERIODS)
+    return pr.apply_protocol(panel_table(spark, sf), every, tolerance, derived.PERIODS)
 
 
 def base(spark, sf):
@@ -105,7 +116,7 @@ def base(spark, sf):
 
 def yearly(spark, sf):
     people = co.four_state_event(cohort(spark, sf)).select("bene_id", "event4")
-    return pr.apply_age_band_protocol(pn.yearly_panel(panel(spark, sf), people), derived.PERIODS)
+    return pr.apply_age_band_protocol(pn.yearly_panel(panel_table(spark, sf), people), derived.PERIODS)
 
 
 # ---------------------------------------------------------------- scalar functions
@@ -369,7 +380,7 @@ def read_panel_stratum(spark, sf):
 
 @query("stratum_race", "bene_id:s int:i race:i n_cond:i", "SELECT * FROM panel WHERE race = 2")
 def stratum_race(spark, sf):
-    return st.stratum_panel(panel(spark, sf), "race", 2)
+    return st.stratum_panel(panel_table(spark, sf), "race", 2)
 
 
 @query(
@@ -433,7 +444,7 @@ _U = q.uniform(123, "bene_id")
     f"SELECT *, CASE WHEN exposed = 1 THEN 1.0 ELSE 4.0 END AS wt_s FROM panel WHERE exposed = 1 OR {_U} < 0.25",
 )
 def sample_persons(spark, sf):
-    return st.sampled_panel(panel(spark, sf))
+    return st.sampled_panel(panel_table(spark, sf))
 
 
 def _poisson_sql(u: str) -> str:
@@ -900,18 +911,18 @@ def bootstrap_summary_exact(spark, sf):
 @query("bootstrap_cif", "time:x " + " ".join(f"{m}:x" for m in _MEASURES) + f" {_PCT_SPEC} n:i avg_wt:x p95_wt:x")
 def bootstrap_cif(spark, sf):
     """The whole weighted analysis with bootstrap intervals."""
-    return st.weighted_analysis(panel(spark, sf), EVERY, reps=4, periods=derived.PERIODS)
+    return st.weighted_analysis(panel_table(spark, sf), EVERY, reps=4, periods=derived.PERIODS)
 
 
 @query("exposure_weighted_cif", "time:x " + " ".join(f"{m}:x" for m in _MEASURES))
 def exposure_weighted_cif(spark, sf):
-    return st.weighted_analysis(panel(spark, sf), EVERY, "exposure", periods=derived.PERIODS)
+    return st.weighted_analysis(panel_table(spark, sf), EVERY, "exposure", periods=derived.PERIODS)
 
 
 @query("stratum_cif", "time:x " + " ".join(f"{m}:x" for m in _MEASURES))
 def stratum_cif(spark, sf):
     """The weighted analysis of one sex, which is then left out of the models."""
-    women = st.stratum_panel(panel(spark, sf), "sex", "F")
+    women = st.stratum_panel(panel_table(spark, sf), "sex", "F")
     return st.weighted_analysis(women, EVERY, omit=("sex",), fractions={1: 1.0, 0: 1.0}, periods=derived.PERIODS)
 
 
@@ -1071,8 +1082,8 @@ for _name, _state in (("crude_table", 1), ("crude_table_competing", 2)):
 
 
 @query(
-    "crude_series", "time:x group:s outcome:s estimate:x lower:x upper:x",
-    """SELECT *, CASE WHEN exposed = 0 THEN 'Without exposure' ELSE 'With exposure' END AS "group",
+    "crude_series", "time:x arm:s outcome:s estimate:x lower:x upper:x",
+    """SELECT *, CASE WHEN exposed = 0 THEN 'Without exposure' ELSE 'With exposure' END AS arm,
       CASE WHEN state = 1 THEN 'Primary' ELSE 'Death' END AS outcome FROM tidy""",
     more=_CIS,
 )
@@ -1081,9 +1092,9 @@ def crude_series(spark, sf):
 
 
 @query(
-    "curve_series", "time:x group:s outcome:s estimate:x lower:x upper:x",
+    "curve_series", "time:x arm:s outcome:s estimate:x lower:x upper:x",
     " UNION ALL ".join(
-        f"""SELECT time, '{g}' AS "group", '{o}' AS outcome, risk_{c}{s} AS estimate,
+        f"""SELECT time, '{g}' AS arm, '{o}' AS outcome, risk_{c}{s} AS estimate,
           {f'CASE WHEN risk_{c}{s}_ll < 0 THEN 0 ELSE risk_{c}{s}_ll END' if c == 'primary' else f'risk_{c}{s}_ll'} AS lower,
           risk_{c}{s}_ul AS upper FROM res"""
         for s, g in ((0, "Without exposure"), (1, "With exposure")) for c, o in (("primary", "Primary"), ("competing", "Death"))

@@ -79,11 +79,16 @@ def term_columns(terms: Sequence[Term]) -> list[Column]:
     return out
 
 
+# Fixed value: linear predictors are bounded here, so fitted probabilities stay inside (0, 1).
+ETA_BOUND = 30.0
+
+
 def fitted(terms: Sequence[Term], beta: Column) -> Column:
     """Fitted probability from an array column of coefficients."""
     eta = F.get(beta, F.lit(0))
     for i, x in enumerate(term_columns(terms), start=1):
         eta = eta + F.get(beta, F.lit(i)) * x
+    eta = F.greatest(F.least(eta, F.lit(ETA_BOUND)), F.lit(-ETA_BOUND))
     return 1 / (1 + F.exp(-eta))
 
 
@@ -125,7 +130,7 @@ def _design(pdf: pd.DataFrame, terms: Sequence[Term]) -> np.ndarray:
 
 def _cross_products(x: np.ndarray, y: np.ndarray, freq: np.ndarray, beta: np.ndarray) -> np.ndarray:
     """Flat X'WX, X'(W eta + y - mu) and the deviance at ``beta``."""
-    eta = np.clip(x @ beta, -30.0, 30.0)
+    eta = np.clip(x @ beta, -ETA_BOUND, ETA_BOUND)
     mu = 1.0 / (1.0 + np.exp(-eta))
     w = freq * mu * (1.0 - mu)
     deviance = 2.0 * np.sum(freq * np.logaddexp(0.0, np.where(y == 1, -eta, eta)))

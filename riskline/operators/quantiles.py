@@ -40,9 +40,9 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str, freq: Column | No
     """
     v = F.col(value).cast("double").alias(value)
     rows = df.select(*by, v, (F.lit(1) if freq is None else freq).alias("n"))
-    rows = rows.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.col("n") > 0))
-    counts = rows.groupBy(*by, value).agg(F.sum("n").cast("bigint").alias("n"))
-    return written(counts, "value-counts")
+    counts = written(rows.groupBy(*by, value).agg(F.sum("n").cast("bigint").alias("n")), "value-counts")
+    # Filtered after the table is written: a filter on a long expression would be computed twice per row.
+    return counts.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.col("n") > 0))
 
 
 def quantiles_of_counts(

@@ -61,21 +61,21 @@ def crude_table(tidy: DataFrame, ages: Sequence[int] = (55, 60, 65), state: int
 def crude_series(tidy: DataFrame, states: Sequence[int] = (1, 2)) -> DataFrame:
     """Tidy crude curve with figure labels."""
     return tidy.where(F.col("state").isin(list(states))).withColumns(
-        {"group": _label(F.col("exposed"), GROUP_LABELS), "outcome": _label(F.col("state"), OUTCOME_LABELS)}
+        {"arm": _label(F.col("exposed"), GROUP_LABELS), "outcome": _label(F.col("state"), OUTCOME_LABELS)}
     )
 
 
 def curve_series(
     res: DataFrame, causes: Mapping[str, int] = {"primary": 1, "competing": 2}, clip: Sequence[str] = ("primary",)
 ) -> DataFrame:
-    """Step and ribbon series: one row per time, group and outcome; lower limits clipped at zero."""
+    """Step and ribbon series: one row per time, arm and outcome; lower limits clipped at zero."""
     entries = []
     for name, code in causes.items():
         for s in (0, 1):
             low = F.col(f"risk_{name}{s}_ll")
             entries.append(
                 F.struct(
-                    F.lit(GROUP_LABELS[s]).alias("group"),
+                    F.lit(GROUP_LABELS[s]).alias("arm"),
                     F.lit(OUTCOME_LABELS[code]).alias("outcome"),
                     F.col(f"risk_{name}{s}").alias("estimate"),
                     (clip_lower(low) if name in clip else low).alias("lower"),
