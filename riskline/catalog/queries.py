@@ -447,21 +447,16 @@ def sample_persons(spark, sf):
     return st.sampled_panel(panel_table(spark, sf))
 
 
-def _poisson_sql(u: str) -> str:
-    import math
-
-    below, terms = 0.0, []
-    for k in range(18):
-        below += math.exp(-1.0) / math.factorial(k)
-        terms.append(f"CASE WHEN {u} >= {below!r} THEN 1 ELSE 0 END")
-    return " + ".join(terms)
-
-
+_STEPS = sampling.poisson_thresholds()
 _COPIES = {
-    "reps": f"SELECT unnest(range(0, {REPS + 1})) AS rep",
+    "reps": "SELECT * FROM (VALUES "
+    + ", ".join(f"({r}, {a}, {c}, {b})" for r, a, c, b in sampling.replicate_coefficients(REPS, 1))
+    + ") AS t(rep, a, c, b)",
     "people": "SELECT DISTINCT bene_id FROM rows",
-    "draws": f"SELECT rep, bene_id, {q.uniform(1, 'rep', 'bene_id')} AS u FROM reps, people",
-    "mults": f"SELECT rep, bene_id, CASE WHEN rep = 0 THEN 1 ELSE {_poisson_sql('u')} END AS mult FROM draws",
+    "words": """SELECT bene_id, CAST('0x' || substr(md5(bene_id), 1, 7) AS BIGINT) AS h1,
+      CAST('0x' || substr(md5(bene_id), 8, 7) AS BIGINT) AS h2 FROM people""",
+    "draws": f"SELECT rep, bene_id, (CAST(a AS BIGINT) * h1 + CAST(c AS BIGINT) * h2 + b) % {sampling.MODULUS} AS x FROM reps, words",
+    "mults": "SELECT rep, bene_id, " + " + ".join(f"CASE WHEN x >= {t} THEN 1 ELSE 0 END" for t in _STEPS) + " AS mult FROM draws",
     "copies": "SELECT r.*, m.rep, m.mult FROM rows r JOIN mults m ON m.bene_id = r.bene_id WHERE m.mult > 0",
 }
 _SOME_DRAWS = {**_COPIES, "people": "SELECT bene_id FROM base"}

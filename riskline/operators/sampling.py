@@ -6,6 +6,7 @@ are the same after a task is lost and rerun.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Mapping
 
@@ -41,33 +42,67 @@ def sampling_weight(fractions: Mapping[int, float], stratum: str = "exposed") ->
     return F.lit(1.0) / _fraction(F.col(stratum), fractions)
 
 
-def poisson_count(uniform: Column, terms: int = 18) -> Column:
-    """Poisson(1) count from a uniform draw by inversion of its distribution function.
+# Modulus of the replicate draws: the Mersenne prime 2**31 - 1, so that products fit 64 bits.
+MODULUS = 2**31 - 1
 
-    Beyond ``terms`` the tail is below the 2**-52 step of the draw.
-    """
-    below, expr = 0.0, F.lit(0)
-    for k in range(terms):
+
+def poisson_thresholds() -> list[int]:
+    """Smallest draw in [0, MODULUS) that exceeds each Poisson(1) count 0, 1, 2, …"""
+    below, out = 0.0, []
+    for k in range(20):
         below += math.exp(-1.0) / math.factorial(k)
-        expr = expr + (uniform >= below).cast("int")
-    return expr
+        step = math.ceil(below * MODULUS)
+        if step >= MODULUS:
+            break
+        out.append(step)
+    return out
+
 
+def replicate_coefficients(reps: int, seed: int) -> list[tuple[int, int, int, int]]:
+    """(rep, a, c, b) of the draw ``(a*h1 + c*h2 + b) mod MODULUS`` of every replicate.
+
+    Replicate 0 draws the constant that stands for a count of one.
+    """
 
-def replicates(df: DataFrame, reps: int) -> DataFrame:
-    """Each row once per replicate 0..reps."""
-    return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
+    def number(rep: int, tag: str) -> int:
+        return int(hashlib.md5(f"{seed}:{rep}:{tag}".encode()).hexdigest()[:15], 16) % (MODULUS - 1) + 1
+
+    drawn = [(r, number(r, "a"), number(r, "c"), number(r, "b")) for r in range(1, reps + 1)]
+    return [(0, 0, 0, poisson_thresholds()[0]), *drawn]
+
+
+def with_person_words(df: DataFrame, key: str = "bene_id") -> DataFrame:
+    """Two 28-bit hash words of the id, ``_h1`` and ``_h2``; hashed once however many replicates follow."""
+    digest = F.md5(F.col(key).cast("binary"))
+    return df.withColumn("_digest", digest).withColumns(
+        {f"_h{i + 1}": F.conv(F.substring("_digest", 7 * i + 1, 7), 16, 10).cast("bigint") for i in (0, 1)}
+    ).drop("_digest")
 
 
 def with_poisson_counts(df: DataFrame, reps: int, seed: int = 1, key: str = "bene_id") -> DataFrame:
-    """Rows per replicate with the person's multiplicity ``mult``; replicate 0 is the original.
+    """Rows per replicate 0..reps with the person's multiplicity ``mult``; replicate 0 is the original.
 
-    No shuffle: the count is computed where the row is, equal on all rows of a person.
+    The count is a function of replicate and id, computed where the row is: no
+    shuffle, no join, equal on all rows of a person.  Copies drawn zero times are
+    left out before any further step.
     """
-    df = replicates(df, reps)
     if reps == 0:
-        return df.withColumn("mult", F.lit(1))
-    count = poisson_count(hash_uniform(seed, F.col("rep"), F.col(key)))
-    return df.withColumn("mult", F.when(F.col("rep") == 0, 1).otherwise(count)).where("mult > 0")
+        return df.withColumns({"rep": F.lit(0), "mult": F.lit(1)})
+    if "_h1" not in df.columns:
+        df = with_person_words(df, key)
+    entries = F.array(
+        *[
+            F.struct(F.lit(r).alias("rep"), *[F.lit(v).cast("bigint").alias(n) for n, v in zip("acb", rest)])
+            for r, *rest in replicate_coefficients(reps, seed)
+        ]
+    )
+    x = (F.col("_r.a") * F.col("_h1") + F.col("_r.c") * F.col("_h2") + F.col("_r.b")) % F.lit(MODULUS)
+    steps = poisson_thresholds()
+    count = F.when(F.col("_x") < steps[1], 1)
+    for k, step in enumerate(steps[2:], start=2):
+        count = count.when(F.col("_x") < step, k)
+    out = df.withColumn("_r", F.explode(entries)).withColumn("_x", x).where(F.col("_x") >= steps[0])
+    return out.withColumns({"rep": F.col("_r.rep"), "mult": count.otherwise(len(steps))}).drop("_r", "_x", "_h1", "_h2")
 
 
 def dense_index(ids: DataFrame, key: str = "bene_id") -> DataFrame:

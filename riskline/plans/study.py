@@ -108,7 +108,10 @@ def replicate_weights(
     the panel build.  For scoring they are clustered by person before they are
     multiplied by replicate, so the copies themselves are never shuffled.
     """
-    rows = written(rows.select(*MODEL_COLUMNS), "model-rows")
+    rows = rows.select(*MODEL_COLUMNS)
+    if reps and method == "poisson":
+        rows = sampling.with_person_words(rows)
+    rows = written(rows, "model-rows")
     first = F.col("int") == 1
     table = weights.model_cells(replicate_panel(rows, reps, seed, method), "age_start", first)
     models, coefs = weights.fit_weight_models(table, omit=omit)
