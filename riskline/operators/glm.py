@@ -1,9 +1,9 @@
 """Binomial-logit models for many groups at once by iteratively reweighted least squares.
 
-Rows are first collapsed to covariate cells with frequencies.  Every iteration
-is one Spark job over the cells: tasks add up each group's cross products, a
-grouped step solves for the next coefficients, and only coefficient vectors
-(groups x terms) reach the driver.
+Rows are first collapsed to covariate cells with frequencies.  Small groups of
+cells are fitted one per task.  Large ones take one Spark job per iteration:
+tasks add up each group's cross products and a grouped step solves for the next
+coefficients.  Only coefficient vectors (groups x terms) reach the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Largest group of cells, a few columns each, that one task fits as a whole.
+TASK_CELLS = 250_000
+
+
 @dataclass(frozen=True)
 class Spline:
     """Cubic basis on [lo, hi]; fitted values do not depend on the bounds chosen."""
@@ -137,21 +141,69 @@ def _cross_products(x: np.ndarray, y: np.ndarray, freq: np.ndarray, beta: np.nda
     return np.concatenate([(x.T @ (x * w[:, None])).ravel(), x.T @ (w * eta + freq * (y - mu)), [deviance]])
 
 
+def _newton_step(total: np.ndarray, p: int) -> np.ndarray:
+    """Next coefficients from summed cross products; a rank-deficient system gets its shortest solution."""
+    left, right = total[: p * p].reshape(p, p), total[p * p : p * p + p]
+    return np.linalg.lstsq(left, right, rcond=1e-12)[0]
+
+
+def _converged(now: float, last: float | None, tol: float) -> bool:
+    return last is not None and abs(now - last) / (abs(now) + 0.1) < tol
+
+
 def fit_logits(
-    data: DataFrame, models: Sequence[Logit], max_iter: int = 25, tol: float = 1e-8
+    data: DataFrame, models: Sequence[Logit], max_iter: int = 25, tol: float = 1e-8, task_cells: int = TASK_CELLS
 ) -> dict[tuple, np.ndarray]:
     """Coefficients of every model in every group, keyed ``(name, *group)``.
 
-    All models and groups advance together, one job per iteration; a group whose
-    relative change in deviance falls below ``tol`` is not visited again.
+    Groups of up to ``task_cells`` cells are fitted whole, one task per group, in
+    one job.  If any group is larger, all of them advance together with one job
+    per iteration, in which a group is shared by many tasks.
     """
     # The small helpers travel with the tasks, so executors need no copy of this package.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    spec = {m.name: m for m in models}
-    columns = sorted(
-        {c for m in models for c in (m.outcome, m.freq, *m.by, *[t.column for t in m.terms])}
-    )
+    columns = sorted({c for m in models for c in (m.outcome, m.freq, *m.by, *[t.column for t in m.terms])})
     data = data.select(*columns)
+    groupings = sorted({m.by for m in models})
+    largest = max(
+        data.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0 for by in groupings
+    )
+    if largest <= task_cells:
+        return _fit_whole_groups(data, models, groupings, max_iter, tol)
+    return _fit_together(data, models, max_iter, tol)
+
+
+def _fit_whole_groups(data, models, groupings, max_iter: int, tol: float) -> dict[tuple, np.ndarray]:
+    def fitter(own: list[Logit]):
+        def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for m in own:
+                part = pdf[pdf[m.freq] > 0]
+                if part.empty:
+                    continue
+                x, y = _design(part, m.terms), part[m.outcome].to_numpy().astype(float)
+                freq, beta, last = part[m.freq].to_numpy().astype(float), np.zeros(m.size), None
+                for _ in range(max_iter):
+                    total = _cross_products(x, y, freq, beta)
+                    beta = _newton_step(total, m.size)
+                    if _converged(total[-1], last, tol):
+                        break
+                    last = total[-1]
+                out.append((m.name, [int(k) for k in key], beta.tolist()))
+            return pd.DataFrame(out, columns=["model", "key", "beta"])
+
+        return fit
+
+    fits = None
+    for by in groupings:
+        fit = fitter([m for m in models if m.by == by])
+        part = data.groupBy(*by).applyInPandas(fit, "model string, key array<int>, beta array<double>")
+        fits = part if fits is None else fits.unionByName(part)
+    return {(r["model"], *r["key"]): np.array(r["beta"]) for r in fits.collect()}
+
+
+def _fit_together(data, models, max_iter: int, tol: float) -> dict[tuple, np.ndarray]:
+    spec = {m.name: m for m in models}
     context = data.sparkSession.sparkContext
     beta: dict[tuple, np.ndarray] = {}
     deviance: dict[tuple, float] = {}
@@ -188,9 +240,7 @@ def fit_logits(
 
         def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             total = np.sum(np.stack(pdf["v"].to_numpy()), axis=0)
-            p = spec[key[0]].size
-            left, right = total[: p * p].reshape(p, p), total[p * p : p * p + p]
-            step = np.linalg.lstsq(left, right, rcond=1e-12)[0]
+            step = _newton_step(total, spec[key[0]].size)
             return pd.DataFrame({"model": [key[0]], "key": [list(key[1])], "beta": [step.tolist()], "dev": [total[-1]]})
 
         steps = (
@@ -199,15 +249,14 @@ def fit_logits(
             .applyInPandas(solve, "model string, key array<int>, beta array<double>, dev double")
             .collect()
         )
-        if not steps:
-            break
         for row in steps:
             key = (row["model"], *row["key"])
-            last = deviance.get(key)
-            if last is not None and abs(row["dev"] - last) / (abs(row["dev"]) + 0.1) < tol:
+            if _converged(row["dev"], deviance.get(key), tol):
                 done.add(key)
             beta[key], deviance[key] = np.array(row["beta"]), row["dev"]
         state.unpersist()
+        if len(done) == len(beta):
+            break
     return beta
 
 
