@@ -21,7 +21,7 @@ from riskline.functions import sequence as seq
 from riskline.operators import cohort as co
 from riskline.operators import events as ev
 from riskline.operators import glm, panel as pn, protocol as pr, quantiles, report, sampling, summary, survival, weights
-from riskline.operators.lineage import shared_dir, written
+from riskline.operators.lineage import fresh_path, written
 from riskline.plans import study as st
 from riskline.sources import derived, files
 from riskline.sources.schema import CONDITIONS, PANEL, SUBJECT, SUBJECT_RENAMES
@@ -361,7 +361,7 @@ def years_since_last(spark, sf):
 )
 def strata_split(spark, sf):
     """Panel written by stratum and read back folder by folder."""
-    root = f"{shared_dir(spark)}/strata-{spark.sparkContext.applicationId}-{sf.strip('/').replace('/', '-')}"
+    root = fresh_path(spark, "strata")
     files.write_strata(panel(spark, sf), root)
     parts = [files.read_stratum(spark, root, "race", r) for r in (1, 2, 3)]
     union = parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -373,7 +373,7 @@ def strata_split(spark, sf):
 
 @query("read_panel_stratum", "bene_id:s int:i race:i sex:s age_start:x", "SELECT * FROM panel WHERE sex = 'F'")
 def read_panel_stratum(spark, sf):
-    root = f"{shared_dir(spark)}/panel-{spark.sparkContext.applicationId}-{sf.strip('/').replace('/', '-')}"
+    root = fresh_path(spark, "panel")
     files.write_panel(panel(spark, sf), root, "main")
     return files.read_panel(spark, root, "main", ("sex", "F"))
 
@@ -388,7 +388,7 @@ def stratum_race(spark, sf):
     "subject",
 )
 def read_subjects_csv(spark, sf):
-    path = f"{shared_dir(spark)}/subjects-{spark.sparkContext.applicationId}-{sf.strip('/').replace('/', '-')}"
+    path = fresh_path(spark, "subjects")
     raw = {ours: theirs for theirs, ours in SUBJECT_RENAMES.items()}
     files.write_result(subjects(spark, sf).withColumnsRenamed(raw), path, "csv")
     return files.read_subjects(spark, path)
@@ -396,14 +396,14 @@ def read_subjects_csv(spark, sf):
 
 @query("read_procedures_csv", "bene_id:s proc_type:i proc_date:d", "procedure_all")
 def read_procedures_csv(spark, sf):
-    path = f"{shared_dir(spark)}/procedures-{spark.sparkContext.applicationId}-{sf.strip('/').replace('/', '-')}"
+    path = fresh_path(spark, "procedures")
     files.write_result(procedures(spark, sf), path, "csv")
     return files.read_procedures(spark, path)
 
 
 @query("panel_csv_roundtrip", _PANEL_SPEC, "panel")
 def panel_csv_roundtrip(spark, sf):
-    path = f"{shared_dir(spark)}/panelcsv-{spark.sparkContext.applicationId}-{sf.strip('/').replace('/', '-')}"
+    path = fresh_path(spark, "panelcsv")
     files.write_result(panel(spark, sf), path, "csv")
     return files.read_result(spark, path, PANEL, "csv")
 
@@ -1104,7 +1104,7 @@ def curve_series(spark, sf):
 def result_roundtrip(spark, sf):
     """A result written under its own path and read back with its schema."""
     df = survival.cumulative_incidence(rows(spark, sf), ["exposed"], origin=None)
-    root = f"{shared_dir(spark)}/results-{spark.sparkContext.applicationId}-{sf.strip('/').replace('/', '-')}"
+    root = fresh_path(spark, "results")
     path = files.result_path(root, "main", EVERY, weight_kind="crude")
     files.write_result(df, path)
     return files.read_result(spark, path, df.schema)

@@ -19,6 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the checkpoint folder that nothing has been written to."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the checkpoint folder and read back.
 
@@ -26,6 +31,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     them, also after an executor is lost.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
