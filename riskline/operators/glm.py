@@ -118,18 +118,41 @@ def spread(df: DataFrame, by: Sequence[str], salts: int = 32) -> DataFrame:
     return df.withColumn("_salt", salt).repartition(*by, "_salt").drop("_salt").sortWithinPartitions(*by)
 
 
-def _design(pdf: pd.DataFrame, terms: Sequence[Term]) -> np.ndarray:
-    parts = [np.ones(len(pdf))]
+def _code(column: str) -> str:
+    return f"{column}__code"
+
+
+def coded(df: DataFrame, models: Sequence[Logit]) -> DataFrame:
+    """The columns the models read, categories as positions in their level list.
+
+    Only numbers then travel to the tasks that add up cross products.
+    """
+    plain = {c for m in models for c in (m.outcome, m.freq, *m.by)}
+    codes = {}
+    for t in (t for m in models for t in m.terms):
+        if isinstance(t, Category):
+            position = F.array_position(F.array(*[F.lit(v) for v in t.levels]), F.col(t.column))
+            codes[_code(t.column)] = (position - 1).cast("smallint")
+        else:
+            plain.add(t.column)
+    return df.select(*sorted(plain), *[c.alias(n) for n, c in sorted(codes.items())])
+
+
+def _design(pdf: pd.DataFrame, terms: Sequence[Term], blocks: dict | None = None) -> np.ndarray:
+    """Design matrix of coded rows; ``blocks`` keeps the columns of terms shared by several models."""
+    blocks = {} if blocks is None else blocks
     for t in terms:
-        x = pdf[t.column].to_numpy()
-        if isinstance(t, Spline):
-            u = (x.astype(float) - t.lo) / ((t.hi - t.lo) or 1.0)
-            parts += [3 * u * (1 - u) ** 2, 3 * u**2 * (1 - u), u**3]
-        elif isinstance(t, Numeric):
-            parts.append(x.astype(float))
+        if t in blocks:
+            continue
+        if isinstance(t, Category):
+            x = pdf[_code(t.column)].to_numpy()
+            blocks[t] = (x[:, None] == np.arange(1, len(t.levels))).astype(float)
+        elif isinstance(t, Spline):
+            u = (pdf[t.column].to_numpy(float) - t.lo) / ((t.hi - t.lo) or 1.0)
+            blocks[t] = np.column_stack([3 * u * (1 - u) ** 2, 3 * u**2 * (1 - u), u**3])
         else:
-            parts += [(x == level).astype(float) for level in t.levels[1:]]
-    return np.column_stack(parts)
+            blocks[t] = pdf[t.column].to_numpy(float)[:, None]
+    return np.hstack([np.ones((len(pdf), 1)), *[blocks[t] for t in terms]])
 
 
 def _cross_products(x: np.ndarray, y: np.ndarray, freq: np.ndarray, beta: np.ndarray) -> np.ndarray:
@@ -162,8 +185,7 @@ def fit_logits(
     """
     # The small helpers travel with the tasks, so executors need no copy of this package.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    columns = sorted({c for m in models for c in (m.outcome, m.freq, *m.by, *[t.column for t in m.terms])})
-    data = data.select(*columns)
+    data = coded(data, models)
     groupings = sorted({m.by for m in models})
     largest = max(
         data.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0 for by in groupings
@@ -181,8 +203,8 @@ def _fit_whole_groups(data, models, groupings, max_iter: int, tol: float) -> dic
                 part = pdf[pdf[m.freq] > 0]
                 if part.empty:
                     continue
-                x, y = _design(part, m.terms), part[m.outcome].to_numpy().astype(float)
-                freq, beta, last = part[m.freq].to_numpy().astype(float), np.zeros(m.size), None
+                x, y = _design(part, m.terms), part[m.outcome].to_numpy(float)
+                freq, beta, last = part[m.freq].to_numpy(float), np.zeros(m.size), None
                 for _ in range(max_iter):
                     total = _cross_products(x, y, freq, beta)
                     beta = _newton_step(total, m.size)
@@ -208,6 +230,7 @@ def _fit_together(data, models, max_iter: int, tol: float) -> dict[tuple, np.nda
     beta: dict[tuple, np.ndarray] = {}
     deviance: dict[tuple, float] = {}
     done: set[tuple] = set()
+    finest = sorted({c for m in models for c in m.by})
 
     for _ in range(max_iter):
         state = context.broadcast((beta, done))
@@ -216,18 +239,15 @@ def _fit_together(data, models, max_iter: int, tol: float) -> dict[tuple, np.nda
             current, finished = state.value
             sums: dict[tuple, np.ndarray] = {}
             for batch in batches:
-                for m in spec.values():
-                    for group, part in batch.groupby(list(m.by), sort=False):
-                        key = (m.name, *[int(g) for g in group])
-                        part = part[part[m.freq] > 0]
-                        if key in finished or part.empty:
+                for group, part in batch.groupby(finest, sort=False):
+                    at, blocks = dict(zip(finest, map(int, group))), {}
+                    for m in spec.values():
+                        key = (m.name, *[at[c] for c in m.by])
+                        freq = part[m.freq].to_numpy(float)
+                        if key in finished or not freq.any():
                             continue
-                        now = _cross_products(
-                            _design(part, m.terms),
-                            part[m.outcome].to_numpy().astype(float),
-                            part[m.freq].to_numpy().astype(float),
-                            current.get(key, np.zeros(m.size)),
-                        )
+                        x, y = _design(part, m.terms, blocks), part[m.outcome].to_numpy(float)
+                        now = _cross_products(x, y, freq, current.get(key, np.zeros(m.size)))
                         sums[key] = sums[key] + now if key in sums else now
             if sums:
                 yield pd.DataFrame(
