@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskline.catalog import base_sql as q
@@ -686,10 +686,10 @@ def cubic_basis(spark, sf):
     return base(spark, sf).select("bene_id", *[c.alias(n) for c, n in names])
 
 
-def _fit_frame(spark, sf, model, lv=None, source=base):
+def _fit_frame(spark, sf, name, source=base):
     df = source(spark, sf).withColumns({"rep": F.lit(0), "freq": F.lit(1)})
     return written(glm.cells(df, ["rep", "exposed", "race", "sex", "screen", "screen_1", "enroll_period", "age_start"],
-                             {"freq": F.lit(1)}), model)
+                             {"freq": F.lit(1)}), name)
 
 
 @query(

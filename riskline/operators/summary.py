@@ -157,7 +157,3 @@ def summarise_bootstrap(
 
 def count_rows(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(_count())
-
-
-def weighted_mean(value: Column, weight: Column) -> Column:
-    return F.sum(value * weight) / F.sum(weight)
