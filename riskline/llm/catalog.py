@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskline.llm import quality_rules
+from riskline.llm import bpe, line_dedup, quality_rules, simhash, source_mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,9 +47,58 @@ SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * lost_chars <= 40 * word_chars AS kept FROM out
 """
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    made = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return made.select(
+        "doc_id",
+        (F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_lines_removed", "clean_text")
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+raw AS (SELECT rid, doc_id, p, ls[p] AS line FROM d, unnest(generate_series(1, len(ls))) AS u(p)),
+worded AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY p) AS i, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x,
+    len(list_filter(regexp_split_to_array(line, '[ \t-\r]+'), lambda w: w <> '')) AS n
+  FROM raw WHERE regexp_matches(line, '[^ \t-\r]')),
+spans AS (SELECT a.rid, a.doc_id, a.i AS s, b.i AS e, list(c.x ORDER BY c.i) AS body
+  FROM worded a JOIN worded b ON b.rid = a.rid AND b.i BETWEEN a.i AND a.i + 3
+  JOIN worded c ON c.rid = a.rid AND c.i BETWEEN a.i AND b.i
+  GROUP BY ALL HAVING sum(c.n) >= 40 OR count(*) >= 4),
+later AS (SELECT *, (doc_id, s) > min((doc_id, s)) OVER (PARTITION BY body) AS again FROM spans),
+gone AS (SELECT DISTINCT w.rid, w.p FROM later l JOIN worded w ON w.rid = l.rid AND w.i BETWEEN l.s AND l.e WHERE l.again)
+SELECT d.doc_id, CAST(count(w.p) AS BIGINT) AS n_lines, CAST(count(g.p) AS BIGINT) AS n_lines_removed,
+  coalesce(string_agg(r.line, chr(10) ORDER BY r.p) FILTER (g.p IS NULL), '') AS clean_text
+FROM d JOIN raw r USING (rid) LEFT JOIN worded w ON w.rid = r.rid AND w.p = r.p LEFT JOIN gone g ON g.rid = r.rid AND g.p = r.p
+GROUP BY d.rid, d.doc_id
+"""
+
 QUERIES = {
+    "op2_source_mixing": op2_source_mixing,
+    "op4_bpe": op4_bpe,
+    "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
+    "op10_line_dedup": op10_line_dedup,
 }
 SQL = {
     "op8_quality_rules": OP8_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
