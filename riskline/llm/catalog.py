@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskline.llm import bpe, html_extract, license_scan, line_dedup, quality_rules, simhash, source_mixing
+from riskline.llm import ann, bpe, edit_tokens, html_extract, license_scan, line_dedup, quality_rules, simhash, source_mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -75,6 +79,16 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document before and after personal data in it are masked, by updating its tree."""
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    state = edit_tokens.with_trees(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
+    after = edit_tokens.apply_edits(edit_tokens.with_masks(state), ranks, pattern)
+    return after.select("doc_id", "n_before", "n_edits", "n_tokens", "n_encoded", F.size("leaf_chars").cast("bigint").alias("n_leaves"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -106,7 +120,9 @@ GROUP BY d.rid, d.doc_id
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_source_mixing": op2_source_mixing,
+    "op3_ann": op3_ann,
     "op4_bpe": op4_bpe,
+    "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scan": op9_license_scan,
