@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskline.llm import ann, bpe, edit_tokens, html_extract, license_scan, line_dedup, quality_rules, simhash, source_mixing
+from riskline.llm import ann, bpe, edit_tokens, html_extract, license_scan, line_dedup, quality_rules, simhash, source_mixing, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document before and after personal data in it are masked, by updating its tree."""
     import public_tokenizers
@@ -122,6 +127,7 @@ QUERIES = {
     "op2_source_mixing": op2_source_mixing,
     "op3_ann": op3_ann,
     "op4_bpe": op4_bpe,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
