@@ -100,11 +100,11 @@ def ctes(s: Setup) -> dict[str, str]:
     c["onsets"] = "SELECT *, " + ", ".join(
         f"ceil({div('baseline', f'cond_{k}_date', 3)}) AS onset_{k}" for k in CONDITIONS
     ) + " FROM cohort"
-    c["enrolled"] = """SELECT p.bene_id, p.proc_date, min(p.proc_type) AS proc_type, any_value(c.min_age_date) AS min_age_date
-        FROM procs p JOIN cohort c ON c.bene_id = p.bene_id WHERE p.proc_date <= c.end_date
-        GROUP BY p.bene_id, p.proc_date"""
+    c["enrolled"] = """SELECT p.bene_id, p.proc_date, p.proc_type, c.min_age_date
+        FROM procs p JOIN cohort c ON c.bene_id = p.bene_id WHERE p.proc_date <= c.end_date"""
     c["prior"] = "SELECT bene_id FROM enrolled GROUP BY bene_id HAVING min(proc_date) < min(min_age_date)"
-    c["clean"] = "SELECT bene_id, proc_date, proc_type FROM enrolled WHERE bene_id NOT IN (SELECT bene_id FROM prior)"
+    c["unprior"] = "SELECT bene_id, proc_date, proc_type FROM enrolled WHERE bene_id NOT IN (SELECT bene_id FROM prior)"
+    c["clean"] = "SELECT bene_id, proc_date, min(proc_type) AS proc_type FROM unprior GROUP BY bene_id, proc_date"
     c.update(thinning("kept", "clean", s.years))
     c["kept0"] = f"""SELECT k.*, c.baseline, lag(proc_date) OVER (PARTITION BY k.bene_id ORDER BY proc_date) AS prev
         FROM kept k JOIN cohort c ON c.bene_id = k.bene_id"""
@@ -213,10 +213,11 @@ def assemble(select: str, parts: dict[str, str]) -> str:
 
 
 def cols(spec: str, prefix: str = "") -> str:
-    """Output columns: ``name:kind`` with i integer, x double, d date, s text."""
+    """Output columns: ``name:kind`` with i integer, x and w double, d date, s text."""
     cast = {
         "i": "CAST({0} AS BIGINT)",
         "x": "round(CAST({0} AS DOUBLE), 6) + 0.0",
+        "w": "round(CAST({0} AS DOUBLE), 3) + 0.0",
         "d": "CAST({0} AS VARCHAR)",
         "s": "{0}",
     }

@@ -2,7 +2,7 @@
 
 A query takes (spark, sf_dir), reads whole tables and returns a DataFrame whose
 columns are listed in a short spec: ``name:kind`` with i integer, x double
-rounded to six places, d date as text, s text.
+rounded to six places, w to three (for fitted values), d date as text, s text.
 """
 
 from __future__ import annotations
@@ -43,7 +43,8 @@ def typed(df: DataFrame, spec: str) -> DataFrame:
     for item in spec.split():
         name, kind = item.split(":")
         c = F.col(name)
-        c = {"i": lambda: c.cast("bigint"), "x": lambda: F.round(c.cast("double"), 6), "d": lambda: c.cast("string"),
+        c = {"i": lambda: c.cast("bigint"), "x": lambda: F.round(c.cast("double"), 6),
+             "w": lambda: F.round(c.cast("double"), 3), "d": lambda: c.cast("string"),
              "s": lambda: c}[kind]()
         out.append(c.alias(name))
     return df.select(*out)
@@ -95,13 +96,16 @@ def panel(spark, sf, study=STUDY):
     return st.study_panel(study, subjects(spark, sf), procedures(spark, sf))
 
 
-_PANELS: dict[tuple[str, str], DataFrame] = {}
+_PANELS: dict[tuple, DataFrame] = {}
 
 
 def panel_table(spark, sf):
-    """The study panel, built and written once per session and input folder, as analyses read it."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The study panel as analyses read it: written anew whenever the files it comes from are others."""
+    files_read = derived.table(spark, sf, "customer").select("_metadata").union(derived.table(spark, sf, "orders").select("_metadata"))
+    state = files_read.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()
+    key = (spark.sparkContext.applicationId, tuple(sorted(map(tuple, state))))
     if key not in _PANELS:
+        _PANELS.clear()
         _PANELS[key] = written(panel(spark, sf), "panel")
     return _PANELS[key]
 
@@ -239,7 +243,7 @@ def prior_procedure_ids(spark, sf):
     return ev.prior_procedure_ids(attach_enrollment(spark, sf))
 
 
-@query("prior_proc_excluded", "bene_id:s proc_date:d proc_type:i", "clean")
+@query("prior_proc_excluded", "bene_id:s proc_date:d proc_type:i", "unprior")
 def prior_proc_excluded(spark, sf):
     enrolled = attach_enrollment(spark, sf)
     return co.exclude(enrolled, ev.prior_procedure_ids(enrolled))
@@ -339,14 +343,14 @@ def dropout_rows(spark, sf):
 
 @query("last_proc_carry", "bene_id:s int:i proc:i date_last_proc:d prior_proc:i", "panel")
 def last_proc_carry(spark, sf):
-    """The carried-forward date by windows over the panel's own procedure dates."""
-    p = panel(spark, sf).withColumn(
-        "proc_date", F.when(F.col("proc") == 1, F.expr("add_months(baseline, cast(floor(proc_time) * 3 as int))"))
-    )
+    """The date carried forward by windows from the procedures of earlier intervals."""
+    study = STUDY
+    rows = pn.panel_rows(
+        cohort(spark, sf), st.study_procedures(study, procedures(spark, sf)), study.cutoff, study.refractory_years, study.months, study.age_cap
+    ).select("bene_id", "int", "proc", "proc_date")
     w = seq.by_person("int")
-    own = F.col("proc") == 1
-    has_last = seq.carry_forward_excluding(F.col("proc_date"), own, w).isNotNull()
-    return p.withColumn("prior_proc", has_last.cast("int"))
+    carried = seq.carry_forward_excluding(F.col("proc_date"), F.col("proc") == 1, w)
+    return rows.withColumn("date_last_proc", carried).withColumn("prior_proc", F.col("date_last_proc").isNotNull().cast("int"))
 
 
 @query("years_since_last", "bene_id:s int:i years_since_proc:x", "panel")
@@ -940,6 +944,175 @@ def yearly_weighted_cif(spark, sf):
     return st.yearly_curves(weighted, weighted=True)
 
 
+# ---------------------------------------------------------------- weighted analyses with models that SQL can state
+
+# With one category per model the fitted values are group means.
+_ONE_EACH = {
+    "exposure": (glm.Category("sex", ("F", "M")),),
+    "adherence_num": (glm.Numeric("screen_1"),),
+    "adherence_den": (glm.Category("enroll_period", (1, 2, 3)),),
+    "stay_num": (glm.Numeric("screen"),),
+    "stay_den": (glm.Category("sex", ("F", "M")),),
+}
+
+
+def _one_each(spark, sf):
+    """The same terms, with the enrolment periods that occur."""
+    lv = glm.levels(rows(spark, sf), ["enroll_period"])
+    return {**_ONE_EACH, "adherence_den": (glm.Category("enroll_period", lv["enroll_period"]),)}
+
+
+def _mean(value: str, by: str) -> str:
+    return f"sum(mult * {value}) OVER (PARTITION BY {by}) / sum(mult) OVER (PARTITION BY {by})"
+
+
+def _ipw_sql(source: str) -> dict[str, str]:
+    seen = lambda y, p: f"CASE WHEN {y} = 1 THEN {p} ELSE 1 - {p} END"
+    return {
+        "sat0": f"SELECT *, 1 - drop AS stay FROM ({source})",
+        "sat1": f"""SELECT *, {_mean('screen', 'rep, exposed, screen_1')} AS an, {_mean('screen', 'rep, exposed, enroll_period')} AS ad,
+          {_mean('stay', 'rep, exposed, screen')} AS sn, {_mean('stay', 'rep, exposed, sex')} AS sd FROM sat0""",
+        "sat2": f"SELECT *, {_mean('exposed', 'rep')} AS em, {_mean('exposed', 'rep, sex')} AS ep FROM sat0 WHERE int = 1",
+        "sat3": f"""SELECT s.*, ({seen('s.exposed', 'e.em')}) / ({seen('s.exposed', 'e.ep')}) AS wt_exposure,
+          ({seen('screen', 'an')}) / ({seen('screen', 'ad')}) AS wt_screen,
+          CASE WHEN stay = 1 THEN sn / sd ELSE 0.0 END AS wt_drop
+          FROM sat1 s JOIN (SELECT bene_id, rep, em, ep FROM sat2) e ON e.bene_id = s.bene_id AND e.rep = s.rep""",
+        "sat4": """SELECT *, product(wt_screen) OVER w AS cum_wt_screen, product(wt_drop) OVER w AS cum_wt_drop
+          FROM sat3 WINDOW w AS (PARTITION BY bene_id, rep ORDER BY int)""",
+        "sat": """SELECT *, cum_screen * wt_exposure * cum_wt_screen * cum_wt_drop AS wt_final,
+          wt_exposure * cum_wt_drop AS wt_final_exposure FROM sat4""",
+    }
+
+
+_SAT = _ipw_sql("SELECT *, 0 AS rep, 1 AS mult FROM rows")
+_SAT_EXPOSURE = {
+    **_SAT,
+    **q.curve_ctes("curve", "sat", "rep, exposed", "age_start", "age_end", "wt_final_exposure * mult", _C2),
+    **_aligned_sql("rep", ""),
+}
+
+
+def _sat_adherence(source: str) -> dict[str, str]:
+    return {
+        **_ipw_sql(source),
+        "repeated": "SELECT rep, age_start, wt_final FROM sat, range(mult) WHERE cum_screen = 1 AND mult > 0",
+        "summ": """SELECT rep, age_start, count(*) AS n, avg(wt_final) AS avg_wt, quantile_cont(wt_final, 0.95) AS p95_wt
+          FROM repeated GROUP BY ALL""",
+        "cut": """SELECT s.* REPLACE (CASE WHEN wt_final > 100 THEN p95_wt ELSE wt_final END AS wt_final)
+          FROM sat s JOIN summ m ON m.rep = s.rep AND m.age_start = s.age_start WHERE cum_screen = 1""",
+        **q.curve_ctes("curve", "cut", "rep, exposed", "age_start", "age_end", "wt_final * mult", _C2),
+        **_aligned_sql("rep", ""),
+    }
+
+
+_ALL = {1: 1.0, 0: 1.0}
+_POINT_SPEC = "time:w " + " ".join(f"{m}:w" for m in _MEASURES)
+
+
+@query("ip_weights_saturated", "bene_id:s int:i wt_exposure:w wt_screen:w wt_drop:w wt_final:w wt_final_exposure:w", "sat", more=_SAT)
+def ip_weights_saturated(spark, sf):
+    return st.replicate_weights(rows(spark, sf), given=_one_each(spark, sf))
+
+
+@query("exposure_weighted_saturated", _POINT_SPEC, "contrasted", more=_SAT_EXPOSURE)
+def exposure_weighted_saturated(spark, sf):
+    return st.weighted_analysis(
+        panel_table(spark, sf), EVERY, "exposure", fractions=_ALL, periods=derived.PERIODS, given=_one_each(spark, sf)
+    )
+
+
+@query(
+    "adherence_weighted_saturated", f"{_POINT_SPEC} n:i avg_wt:w p95_wt:w",
+    "SELECT c.*, m.n, m.avg_wt, m.p95_wt FROM contrasted c LEFT JOIN summ m ON m.rep = c.rep AND m.age_start = c.time",
+    more=_sat_adherence("SELECT *, 0 AS rep, 1 AS mult FROM rows"),
+)
+def adherence_weighted_saturated(spark, sf):
+    return st.weighted_analysis(panel_table(spark, sf), EVERY, fractions=_ALL, periods=derived.PERIODS, given=_one_each(spark, sf))
+
+
+@query(
+    "stratum_race_saturated", _POINT_SPEC, "contrasted",
+    more=_sat_adherence("SELECT *, 0 AS rep, 1 AS mult FROM rows WHERE race = 2"),
+)
+def stratum_race_saturated(spark, sf):
+    """The weighted analysis of one race, which is left out of the models."""
+    some = st.stratum_panel(panel_table(spark, sf), "race", 2)
+    return st.weighted_analysis(
+        some, EVERY, omit=("race",), fractions=_ALL, periods=derived.PERIODS, given=_one_each(spark, sf)
+    )
+
+
+@query(
+    "bootstrap_cif_saturated", "time:w " + " ".join(f"{m}:w" for m in _MEASURES) + " " + " ".join(f"{m}_{t}:w" for m in _MEASURES for t in ("ll", "ul")),
+    "SELECT c.*, p.* EXCLUDE (time) FROM contrasted c JOIN pct p ON p.time = c.time WHERE c.rep = 0",
+    more={**_COPIES, **_sat_adherence("copies"), **{k: _GRID[k] for k in ("grid", "placed")}, "pct": f"{_PCT} FROM placed GROUP BY time"},
+)
+def bootstrap_cif_saturated(spark, sf):
+    """The whole weighted analysis with bootstrap intervals, models refitted in every replicate."""
+    return st.weighted_analysis(
+        panel_table(spark, sf), EVERY, reps=REPS, fractions=_ALL, seed=1, periods=derived.PERIODS, given=_one_each(spark, sf)
+    )
+
+
+_SCORES = {
+    "exposure": ("exposed", "WHERE int = 1", "NULL"),
+    "adherence_num": ("screen", "", "exposed"), "adherence_den": ("screen", "", "exposed"),
+    "stay_num": ("1 - drop", "", "exposed"), "stay_den": ("1 - drop", "", "exposed"),
+}
+
+
+@query(
+    "score_equations", "model:s exposed:i n:i events:i worst:i",
+    "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{m}' AS model, {g} AS exposed, count(*) AS n, sum({y}) AS events, 0 AS worst FROM rows {where} GROUP BY {g}"
+        for m, (y, where, g) in _SCORES.items()
+    ) + ")",
+)
+def score_equations(spark, sf):
+    """Per model and group: rows, events, and the largest score of any term at the fit, in thousandths of a row."""
+    df = rows(spark, sf).select(*st.MODEL_COLUMNS).withColumns({"rep": F.lit(0), "mult": F.lit(1)})
+    table = weights.model_cells(df, "age_start", F.col("int") == 1)
+    models, coefs = weights.fit_weight_models(table)
+    scored, out = written(table.join(coefs, ["rep", "exposed"]), "scored"), None
+    for m in models:
+        group = F.col("exposed") if "exposed" in m.by else F.lit(None).cast("int")
+        gap = (F.col(m.outcome) - glm.fitted(m.terms, F.col(f"beta_{m.name}"))) * F.col(m.freq)
+        sums = [F.abs(F.sum(x * gap)) for x in (F.lit(1.0), *glm.term_columns(m.terms))]
+        one = scored.where(F.col(m.freq) > 0).groupBy(group.alias("exposed")).agg(
+            F.sum(m.freq).alias("n"), F.sum(F.col(m.outcome) * F.col(m.freq)).alias("events"), F.floor(F.greatest(*sums) * 1000).alias("worst")
+        ).withColumn("model", F.lit(m.name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_C3_MEASURES = summary.curve_measures(tuple(_C3), ratios=False)
+
+
+@query(
+    "yearly_bootstrap_se", "time:x " + " ".join(f"{m}:x se_{m}:x" for m in _C3_MEASURES),
+    "SELECT c.*, s.* EXCLUDE (time) FROM y_all c JOIN ydev s ON s.time = c.time WHERE c.rep = 0",
+    more={
+        **{k: v for k, v in _COPIES.items() if k != "copies"},
+        "people": "SELECT DISTINCT bene_id FROM years",
+        "ycopies": "SELECT y.*, m.rep, m.mult FROM years y JOIN mults m ON m.bene_id = y.bene_id WHERE m.mult > 0",
+        **q.curve_ctes("curve", "ycopies", "rep, exposed", "age - 1", "age", "mult", _C3),
+        "ytimes": "SELECT DISTINCT rep, time FROM curve UNION SELECT rep, 18 FROM reps",
+        "yal": "SELECT g.*, " + ", ".join(
+            f"coalesce((SELECT arg_max(c.risk_{c}, c.time) FROM curve c WHERE c.exposed = {s} AND c.rep = g.rep AND c.time <= g.time), 0.0) AS risk_{c}{s}"
+            for c in _C3 for s in (0, 1)
+        ) + " FROM ytimes g",
+        "y_all": "SELECT *, " + ", ".join(f"risk_{c}1 - risk_{c}0 AS rd_{c}" for c in _C3) + " FROM yal",
+        "ygrid": "SELECT r.rep, t.time FROM reps r, (SELECT DISTINCT time FROM y_all WHERE rep = 0) t",
+        "yplaced": "SELECT g.rep, g.time, " + ", ".join(f"c.{m}" for m in _C3_MEASURES)
+        + " FROM ygrid g ASOF JOIN y_all c ON c.rep = g.rep AND c.time <= g.time",
+        "ydev": "SELECT time, " + ", ".join(f"stddev_samp({m}) AS se_{m}" for m in _C3_MEASURES) + " FROM yplaced GROUP BY time",
+    },
+)
+def yearly_bootstrap_se(spark, sf):
+    """Nine yearly measures with bootstrap standard errors."""
+    return st.yearly_bootstrap(yearly(spark, sf), REPS)
+
+
 # ---------------------------------------------------------------- descriptive tables
 
 
@@ -972,14 +1145,7 @@ _CATS = ("sex", "race", "enroll_period", "first_elig_state", "n_cond")
     ),
 )
 def crosstab_oneway(spark, sf):
-    people = written(base(spark, sf), "base")
-    out = None
-    for c in (*_CATS, "exposed", "first_event"):
-        one = summary.crosstab_oneway(people, c).select(
-            F.lit(c).alias("variable"), F.col(c).cast("string").alias("level"), "n", "prop"
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    return summary.crosstab_oneway(base(spark, sf), (*_CATS, "exposed", "first_event"))
 
 
 def _colprop_sql(c: str) -> str:
@@ -990,14 +1156,7 @@ def _colprop_sql(c: str) -> str:
 
 @query("crosstab_colprop", "variable:s level:s exposed:i n:i prop_col:x", " UNION ALL ".join(map(_colprop_sql, _CATS)))
 def crosstab_colprop(spark, sf):
-    people = written(base(spark, sf), "base")
-    out = None
-    for c in _CATS:
-        one = summary.crosstab_colprop(people, c, "exposed").select(
-            F.lit(c).alias("variable"), F.col(c).cast("string").alias("level"), "exposed", "n", "prop_col"
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    return summary.crosstab_colprop(base(spark, sf), _CATS, "exposed")
 
 
 _FIRST_DEV = """SELECT exposed, floor(age_start) AS age_int, 1 - screen AS deviate FROM (

@@ -39,10 +39,6 @@ def running_sum(value: Column, window: WindowSpec) -> Column:
     return F.sum(value).over(running(window))
 
 
-def running_product(value: Column, window: WindowSpec) -> Column:
-    return F.product(value).over(running(window))
-
-
 def still_all(flag: Column, window: WindowSpec) -> Column:
     """1 while every flag so far is 1; the running product of a 0/1 column."""
     return F.min(flag).over(running(window))
@@ -70,11 +66,6 @@ def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], chooser) ->
     return df.groupBy(*keys).agg(chooser(row, rank).alias("_row")).select("_row.*")
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key in ``order``; ``order`` must identify it."""
-    return _pick(df, keys, order, F.min_by)
-
-
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key in ``order``; ``order`` must identify it."""
     return _pick(df, keys, order, F.max_by)

@@ -54,19 +54,15 @@ def gather_history(daily: DataFrame) -> DataFrame:
 
 def attach_history(people: DataFrame, procedures: DataFrame) -> DataFrame:
     """People with the procedures up to their end of follow-up as ``procs``."""
-    history = gather_history(one_per_day(procedures))
+    history = gather_history(one_per_day(procedures.join(people.select("bene_id"), "bene_id", "left_semi")))
     until_end = F.filter("procs", lambda p: p["proc_date"] <= F.col("end_date"))
     return people.join(history, "bene_id", "left").withColumn("procs", until_end)
 
 
 def attach_enrollment(procedures: DataFrame, people: DataFrame) -> DataFrame:
-    """Procedures observed by the end of follow-up, one per person and day, with the person's dates."""
+    """Every procedure observed by the end of follow-up, with the person's dates."""
     dates = people.select("bene_id", "baseline", "end_date", "min_age_date")
-    return (
-        one_per_day(procedures)
-        .join(dates, "bene_id")
-        .where(F.col("proc_date") <= F.col("end_date"))
-    )
+    return procedures.join(dates, "bene_id").where(F.col("proc_date") <= F.col("end_date"))
 
 
 def had_prior_procedure(procs: Column, before: Column) -> Column:

@@ -1,26 +1,33 @@
 """Binomial-logit models for many groups at once by iteratively reweighted least squares.
 
-Rows are first collapsed to covariate cells with frequencies.  Small groups of
-cells are fitted one per task.  Large ones take one Spark job per iteration:
-tasks add up each group's cross products and a grouped step solves for the next
-coefficients.  Only coefficient vectors (groups x terms) reach the driver.
+All models and groups advance together, one Spark job per iteration: every task
+adds up the cross products of its rows per model and group, the sums meet in two
+grouped steps, and the last one solves for the next coefficients.  A group of any
+share of the rows is thus spread over all tasks, and only coefficient vectors
+(groups x terms) reach the driver.
+
+A row with a NULL in a model's outcome or terms takes no part in the fit of that
+model and gets a NULL probability; a level that a category does not list is an error
+in the fit and NULL in the prediction.
 """
 
 from __future__ import annotations
 
 import sys
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-# Largest group of cells, a few columns each, that one task fits as a whole.
-TASK_CELLS = 250_000
+# Partial sums of a model and group meet in this many parts before the last step.
+PARTS = 32
+# A category column with more levels is refused.
+MAX_LEVELS = 1_000
 
 
 @dataclass(frozen=True)
@@ -79,7 +86,8 @@ def term_columns(terms: Sequence[Term]) -> list[Column]:
         elif isinstance(t, Numeric):
             out.append(F.col(t.column).cast("double"))
         else:
-            out += [(F.col(t.column) == level).cast("double") for level in t.levels[1:]]
+            known = F.col(t.column).isin(*t.levels)
+            out += [F.when(known, (F.col(t.column) == level).cast("double")) for level in t.levels[1:]]
     return out
 
 
@@ -88,18 +96,23 @@ ETA_BOUND = 30.0
 
 
 def fitted(terms: Sequence[Term], beta: Column) -> Column:
-    """Fitted probability from an array column of coefficients."""
+    """Fitted probability from an array column of coefficients; NULL where a term is."""
     eta = F.get(beta, F.lit(0))
     for i, x in enumerate(term_columns(terms), start=1):
         eta = eta + F.get(beta, F.lit(i)) * x
-    eta = F.greatest(F.least(eta, F.lit(ETA_BOUND)), F.lit(-ETA_BOUND))
-    return 1 / (1 + F.exp(-eta))
+    bounded = F.greatest(F.least(eta, F.lit(ETA_BOUND)), F.lit(-ETA_BOUND))
+    return F.when(eta.isNotNull(), 1 / (1 + F.exp(-bounded)))
 
 
 def levels(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
-    """Sorted distinct levels of each category column."""
-    row = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns]).first()
-    return {c: tuple(row[c]) for c in columns}
+    """Sorted distinct levels of each category column, NULL left out."""
+    out = {}
+    for c in columns:
+        found = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()]
+        if len(found) > MAX_LEVELS:
+            raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
+        out[c] = tuple(sorted(found))
+    return out
 
 
 def cells(df: DataFrame, columns: Sequence[str], freqs: dict[str, Column]) -> DataFrame:
@@ -107,17 +120,6 @@ def cells(df: DataFrame, columns: Sequence[str], freqs: dict[str, Column]) -> Da
     return df.groupBy(*columns).agg(*[F.sum(e).cast("bigint").alias(n) for n, e in freqs.items()])
 
 
-def spread(df: DataFrame, by: Sequence[str], salts: int = 32) -> DataFrame:
-    """Cluster cells by group within tasks, each group cut into ``salts`` parts.
-
-    A task then sees few groups, and a group holding most cells is still shared
-    by many tasks.
-    """
-    rest = [c for c in df.columns if c not in by]
-    salt = F.pmod(F.xxhash64(*rest), F.lit(salts))
-    return df.withColumn("_salt", salt).repartition(*by, "_salt").drop("_salt").sortWithinPartitions(*by)
-
-
 def _code(column: str) -> str:
     return f"{column}__code"
 
@@ -145,8 +147,10 @@ def _design(pdf: pd.DataFrame, terms: Sequence[Term], blocks: dict | None = None
         if t in blocks:
             continue
         if isinstance(t, Category):
-            x = pdf[_code(t.column)].to_numpy()
-            blocks[t] = (x[:, None] == np.arange(1, len(t.levels))).astype(float)
+            x = pdf[_code(t.column)].to_numpy(float)
+            if (x < 0).any():
+                raise ValueError(f"{t.column} has a level that the model does not list")
+            blocks[t] = np.where(np.isnan(x)[:, None], np.nan, x[:, None] == np.arange(1, len(t.levels)))
         elif isinstance(t, Spline):
             u = (pdf[t.column].to_numpy(float) - t.lo) / ((t.hi - t.lo) or 1.0)
             blocks[t] = np.column_stack([3 * u * (1 - u) ** 2, 3 * u**2 * (1 - u), u**3])
@@ -174,69 +178,30 @@ def _converged(now: float, last: float | None, tol: float) -> bool:
     return last is not None and abs(now - last) / (abs(now) + 0.1) < tol
 
 
-def fit_logits(
-    data: DataFrame, models: Sequence[Logit], max_iter: int = 25, tol: float = 1e-8, task_cells: int = TASK_CELLS
-) -> dict[tuple, np.ndarray]:
+def fit_logits(data: DataFrame, models: Sequence[Logit], max_iter: int = 40, tol: float = 1e-9) -> dict[tuple, np.ndarray]:
     """Coefficients of every model in every group, keyed ``(name, *group)``.
 
-    Groups of up to ``task_cells`` cells are fitted whole, one task per group, in
-    one job.  If any group is larger, all of them advance together with one job
-    per iteration, in which a group is shared by many tasks.
+    ``data`` should be a written table, as every iteration reads it.  A step that
+    raises the deviance is halved.  Groups that have not settled after
+    ``max_iter`` iterations are named in a warning.
     """
     # The small helpers travel with the tasks, so executors need no copy of this package.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     data = coded(data, models)
-    groupings = sorted({m.by for m in models})
-    largest = max(
-        data.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0 for by in groupings
-    )
-    if largest <= task_cells:
-        return _fit_whole_groups(data, models, groupings, max_iter, tol)
-    return _fit_together(data, models, max_iter, tol)
-
-
-def _fit_whole_groups(data, models, groupings, max_iter: int, tol: float) -> dict[tuple, np.ndarray]:
-    def fitter(own: list[Logit]):
-        def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for m in own:
-                part = pdf[pdf[m.freq] > 0]
-                if part.empty:
-                    continue
-                x, y = _design(part, m.terms), part[m.outcome].to_numpy(float)
-                freq, beta, last = part[m.freq].to_numpy(float), np.zeros(m.size), None
-                for _ in range(max_iter):
-                    total = _cross_products(x, y, freq, beta)
-                    beta = _newton_step(total, m.size)
-                    if _converged(total[-1], last, tol):
-                        break
-                    last = total[-1]
-                out.append((m.name, [int(k) for k in key], beta.tolist()))
-            return pd.DataFrame(out, columns=["model", "key", "beta"])
-
-        return fit
-
-    fits = None
-    for by in groupings:
-        fit = fitter([m for m in models if m.by == by])
-        part = data.groupBy(*by).applyInPandas(fit, "model string, key array<int>, beta array<double>")
-        fits = part if fits is None else fits.unionByName(part)
-    return {(r["model"], *r["key"]): np.array(r["beta"]) for r in fits.collect()}
-
-
-def _fit_together(data, models, max_iter: int, tol: float) -> dict[tuple, np.ndarray]:
     spec = {m.name: m for m in models}
     context = data.sparkSession.sparkContext
     beta: dict[tuple, np.ndarray] = {}
-    deviance: dict[tuple, float] = {}
+    before: dict[tuple, tuple[np.ndarray, float]] = {}
     done: set[tuple] = set()
     finest = sorted({c for m in models for c in m.by})
+    kind = "model string, key array<int>, part int, v array<double>"
 
     for _ in range(max_iter):
         state = context.broadcast((beta, done))
 
         def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             current, finished = state.value
+            part_of = TaskContext.get().partitionId() % PARTS
             sums: dict[tuple, np.ndarray] = {}
             for batch in batches:
                 for group, part in batch.groupby(finest, sort=False):
@@ -247,36 +212,51 @@ def _fit_together(data, models, max_iter: int, tol: float) -> dict[tuple, np.nda
                         if key in finished or not freq.any():
                             continue
                         x, y = _design(part, m.terms, blocks), part[m.outcome].to_numpy(float)
-                        now = _cross_products(x, y, freq, current.get(key, np.zeros(m.size)))
+                        whole = ~(np.isnan(y) | np.isnan(x).any(axis=1))
+                        now = _cross_products(x[whole], y[whole], freq[whole], current.get(key, np.zeros(m.size)))
                         sums[key] = sums[key] + now if key in sums else now
             if sums:
                 yield pd.DataFrame(
                     {
                         "model": [k[0] for k in sums],
                         "key": [list(k[1:]) for k in sums],
+                        "part": part_of,
                         "v": [v.tolist() for v in sums.values()],
                     }
                 )
 
+        def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            total = np.sum(np.stack(pdf["v"].to_numpy()), axis=0)
+            return pd.DataFrame({"model": [key[0]], "key": [list(key[1])], "part": [key[2]], "v": [total.tolist()]})
+
         def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             total = np.sum(np.stack(pdf["v"].to_numpy()), axis=0)
             step = _newton_step(total, spec[key[0]].size)
             return pd.DataFrame({"model": [key[0]], "key": [list(key[1])], "beta": [step.tolist()], "dev": [total[-1]]})
 
         steps = (
-            data.mapInPandas(partials, "model string, key array<int>, v array<double>")
+            data.mapInPandas(partials, kind)
+            .groupBy("model", "key", "part")
+            .applyInPandas(add, kind)
             .groupBy("model", "key")
             .applyInPandas(solve, "model string, key array<int>, beta array<double>, dev double")
             .collect()
         )
         for row in steps:
             key = (row["model"], *row["key"])
-            if _converged(row["dev"], deviance.get(key), tol):
+            at, (last, deviance) = beta.get(key), before.get(key, (None, None))
+            if _converged(row["dev"], deviance, tol):
                 done.add(key)
-            beta[key], deviance[key] = np.array(row["beta"]), row["dev"]
+            elif deviance is not None and row["dev"] > deviance:
+                beta[key] = (at + last) / 2
+                continue
+            before[key] = (np.zeros(spec[key[0]].size) if at is None else at, row["dev"])
+            beta[key] = np.array(row["beta"])
         state.unpersist()
         if len(done) == len(beta):
             break
+    if open_ := sorted(set(beta) - done):
+        warnings.warn(f"not converged after {max_iter} iterations: {open_}", stacklevel=2)
     return beta
 
 

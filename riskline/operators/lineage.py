@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folders made by this process, by application, so that a caller can remove them.
+_MADE: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Checkpoint folder named by the session; a temporary one only for local masters."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one made for a session in a single JVM."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskline-"))
     return spark.sparkContext.getCheckpointDir()
@@ -21,7 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the checkpoint folder that nothing has been written to."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_tables(spark: SparkSession) -> int:
+    """Deletes what this session's application has written through this module; returns how many paths there were.
+
+    DataFrames that still read one of them can no longer be used.
+    """
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in made:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(made)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -137,7 +137,7 @@ def people_with_history(cohort: DataFrame, procedures: DataFrame, years: float =
     return people.withColumn("procs", ev.thin_history(F.col("procs"), years))
 
 
-def build_panel(
+def panel_rows(
     cohort: DataFrame,
     procedures: DataFrame,
     cutoff: date,
@@ -146,11 +146,16 @@ def build_panel(
     age_cap: int = 65,
     preserve_boundary_event: bool = False,
 ) -> DataFrame:
-    """The person-interval panel, clustered by person."""
+    """Rows of the panel with everything known about them, clustered by person."""
     people = people_with_history(cohort, procedures, years, months)
     people = with_interval_count(people, cutoff, months, age_cap, preserve_boundary_event)
     rows = with_interval_bounds(expand_intervals(people, months))
-    return with_procedures(with_condition_count(rows, months), months).select(*PANEL_COLUMNS)
+    return with_procedures(with_condition_count(rows, months), months)
+
+
+def build_panel(cohort: DataFrame, procedures: DataFrame, cutoff: date, *args, **kwargs) -> DataFrame:
+    """The person-interval panel, clustered by person; parameters as in ``panel_rows``."""
+    return panel_rows(cohort, procedures, cutoff, *args, **kwargs).select(*PANEL_COLUMNS)
 
 
 def yearly_panel(panel: DataFrame, event4: DataFrame) -> DataFrame:

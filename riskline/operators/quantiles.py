@@ -1,96 +1,57 @@
-"""Exact quantiles of groups of any size.
+"""Exact quantiles of groups of any size from one range partitioning.
 
-The built-in exact percentile holds all distinct values of a group in one
-task.  Here the wanted ranks are located by radix selection instead: values
-are counted by their leading bits, only the cells that contain a wanted rank
-go on to the next bits, and the last level holds single values.  Every level
-is a combining aggregate, so a group with any share of the rows is fine.
+The built-in exact percentile holds all distinct values of a group in one task.
+Here rows are range-partitioned by group and value, each partition counts its share
+of each group, and those counts place every row's ranks: a running sum inside the
+partition after what lies in the ones before.  A group with any share of the rows
+is spread over as many partitions as it needs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskline.operators.lineage import written
 
-# Leading mantissa bits taken by the two radix levels.  The last level then has
-# at most 2**(52 - 12 - 20) distinct doubles per cell.
-_FIRST_BITS, _SECOND_BITS = 12, 20
 
+def ranked(df: DataFrame, by: Sequence[str], value: str, freq: Column | None = None) -> DataFrame:
+    """Rows of (by, value, n) with the ranks they hold in their group: from ``_from`` to before ``_upto`` of ``_total``.
 
-def _radix(value: Column) -> tuple[Column, Column]:
-    """Two integer keys that order doubles like their values."""
-    size = F.abs(value)
-    exponent = F.floor(F.log2(F.when(size > 0, size)))
-    scaled = (size / F.pow(F.lit(2.0), exponent) - 1) * F.lit(2.0**_FIRST_BITS)
-    first = F.floor(scaled)
-    second = F.floor((scaled - first) * F.lit(2.0**_SECOND_BITS))
-    sign = F.signum(value).cast("bigint")
-    key1 = sign * ((exponent + 1100) * F.lit(2**_FIRST_BITS) + first)
-    return F.coalesce(key1, F.lit(0)), F.coalesce(sign * second, F.lit(0))
-
-
-def value_counts(df: DataFrame, by: Sequence[str], value: str, freq: Column | None = None) -> DataFrame:
-    """Distinct values per group with their count ``n``, as a written table.
-
-    ``freq`` repeats a row a whole number of times.  NULL and NaN are left out.
+    ``freq`` repeats a row a whole number of times (``n``).  NULL and NaN are left out;
+    NULL is a group like any other.
     """
+    by = list(by)
     v = F.col(value).cast("double").alias(value)
-    rows = df.select(*by, v, (F.lit(1) if freq is None else freq).alias("n"))
-    counts = written(rows.groupBy(*by, value).agg(F.sum("n").cast("bigint").alias("n")), "value-counts")
-    # Filtered after the table is written: a filter on a long expression would be computed twice per row.
-    return counts.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.col("n") > 0))
-
+    rows = df.select(*by, v, (F.lit(1) if freq is None else freq).cast("bigint").alias("n"))
+    rows = rows.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.col("n") > 0))
+    parts = written(rows.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()), "ranges")
+    shares = parts.groupBy(*by, "_part").agg(F.sum("n").alias("_n"))
+    group = Window.partitionBy(*by)
+    ahead = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shares = shares.withColumns({"_ahead": F.coalesce(F.sum("_n").over(ahead), F.lit(0)), "_total": F.sum("_n").over(group)})
+    keys = [*by, "_part"]
+    shares = shares.select(*[F.col(c).alias(f"_key_{c}") for c in keys], "_ahead", "_total")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in keys])
+    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = parts.withColumn("_sum", F.sum("n").over(inside)).join(shares, same).withColumn("_upto", F.col("_ahead") + F.col("_sum"))
+    return out.withColumn("_from", F.col("_upto") - F.col("n")).select(*by, value, "n", "_from", "_upto", "_total")
 
-def quantiles_of_counts(
-    counts: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]
-) -> DataFrame:
-    """Linearly interpolated quantiles (rank ``(n-1)p``) per group from ``value_counts``.
-
-    Result: ``by`` plus one column per probability.
-    """
-    by = list(by)
-    key1, key2 = _radix(F.col("_v"))
-    scope = counts.select(*by, F.col(value).alias("_v"), F.col("n").alias("_n"))
-    scope = scope.withColumns({"_k1": key1, "_k2": key2})
 
-    keys: list[str] = []
-    base = None
-    for level in ("_k1", "_k2", "_v"):
-        path = [*by, *keys]
-        cells = scope.groupBy(*path, level).agg(F.sum("_n").alias("_n"))
-        inside = F.sum("_n").over(
-            Window.partitionBy(*path).orderBy(level).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        if base is None:
-            total = F.sum("_n").over(Window.partitionBy(*path))
-            cells = cells.withColumns({"_total": total, "_upto": inside})
-        else:
-            cells = cells.join(base, path).withColumn("_upto", F.col("_before") + inside).drop("_before")
-        cells = cells.withColumn("_from", F.col("_upto") - F.col("_n"))
-        wanted = None
-        for p in probs:
-            rank = (F.col("_total") - 1) * F.lit(float(p))
-            hit = (F.floor(rank) < F.col("_upto")) & (F.ceil(rank) >= F.col("_from"))
-            wanted = hit if wanted is None else wanted | hit
-        hits = cells.where(wanted)
-        keys.append(level)
-        if level != "_v":
-            base = hits.select(*by, *keys, F.col("_from").alias("_before"), "_total")
-            scope = scope.join(hits.select(*by, *keys), [*by, *keys])
+def quantile(value: str, p: float) -> Column:
+    """Linearly interpolated quantile (rank ``(n-1)p``) of a group of ``ranked`` rows, as an aggregate."""
+    rank = (F.col("_total") - 1) * F.lit(float(p))
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_upto")), F.col("_v")))
+    def at(r: Column) -> Column:
+        return F.max(F.when((r >= F.col("_from")) & (r < F.col("_upto")), F.col(value)))
 
-    picks = []
-    for p, name in zip(probs, names):
-        rank = (F.col("_total") - 1) * F.lit(float(p))
-        share = F.max(rank - F.floor(rank))
-        picks.append((at(F.floor(rank)) * (1 - share) + at(F.ceil(rank)) * share).alias(name))
-    return hits.groupBy(*by).agg(*picks)
+    share = F.max(rank - F.floor(rank))
+    low, high = at(F.floor(rank)), at(F.ceil(rank))
+    return F.when((share == 0) | (low == high), low).otherwise(low * (1 - share) + high * share)
 
 
 def exact_quantiles(
@@ -101,5 +62,6 @@ def exact_quantiles(
     names: Sequence[str],
     freq: Column | None = None,
 ) -> DataFrame:
-    """Quantiles of ``value`` per group straight from rows."""
-    return quantiles_of_counts(value_counts(df, by, value, freq), by, value, probs, names)
+    """Quantiles of ``value`` per group: ``by`` plus one column per probability."""
+    rows = ranked(df, by, value, freq)
+    return rows.groupBy(*by).agg(*[quantile(value, p).alias(n) for p, n in zip(probs, names)])

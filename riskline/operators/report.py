@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskline.functions.expressions import clip_lower, fixed_decimals, interval_text
+from riskline.functions.expressions import clip_lower, interval_text
 from riskline.functions.sequence import last_per_key
 
 # Labels of groups and outcomes in figures.
@@ -47,11 +47,6 @@ def risk_table(res: DataFrame, ages: Sequence[int] = (55, 60, 65), cause: str =
     )
 
 
-def risk_text(value: Column, places: int = 1) -> Column:
-    """A proportion as percent text."""
-    return fixed_decimals(value * 100, places)
-
-
 def crude_table(tidy: DataFrame, ages: Sequence[int] = (55, 60, 65), state: int = 1) -> DataFrame:
     """Last row per age and group of one state of a tidy curve."""
     rows = tidy.where(F.col("state") == state).withColumn("age", F.floor("time").cast("int"))

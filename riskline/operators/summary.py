@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskline.functions import calendar as cal
-from riskline.operators.quantiles import quantiles_of_counts, value_counts
+from riskline.operators.quantiles import quantile, ranked
 
 
 
@@ -20,16 +20,22 @@ def _count() -> Column:
     return F.count(F.lit(1)).alias("n")
 
 
-def crosstab_oneway(df: DataFrame, column: str) -> DataFrame:
-    """Frequency and proportion of each level, missing left out."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(_count())
-    return counts.withColumn("prop", F.col("n") / F.sum("n").over(Window.partitionBy()))
+def _long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """One row per row and column, as (variable, level), missing levels left out."""
+    pairs = [F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level")) for c in columns]
+    return df.select(*keep, F.explode(F.array(*pairs)).alias("_p")).select(*keep, "_p.*").where("level IS NOT NULL")
 
 
-def crosstab_colprop(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Two-way counts with proportions within each column ``y``; empty cells included."""
-    grid = _full_grid(df, [], x, y)
-    return grid.withColumn("prop_col", F.col("n") / F.sum("n").over(Window.partitionBy(y)))
+def crosstab_oneway(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Frequency and proportion of each level of each column, from one grouping."""
+    counts = _long(df, columns).groupBy("variable", "level").agg(_count())
+    return counts.withColumn("prop", F.col("n") / F.sum("n").over(Window.partitionBy("variable")))
+
+
+def crosstab_colprop(df: DataFrame, columns: Sequence[str], y: str) -> DataFrame:
+    """Counts of each column's levels by ``y`` with proportions within ``y``; empty cells included."""
+    grid = _full_grid(_long(df, columns, [y]), ["variable"], "level", y)
+    return grid.withColumn("prop_col", F.col("n") / F.sum("n").over(Window.partitionBy("variable", y)))
 
 
 def _full_grid(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
@@ -62,31 +68,25 @@ def crosstab_chisq(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> Dat
 
 
 def summary_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Minimum, quartiles, mean and maximum of a column, overall or per group."""
+    """Minimum, quartiles, mean and maximum of a column, overall or per group (NULL is a group)."""
     by = list(by)
-    counts = value_counts(df, by, value)
-    basic = counts.groupBy(*by).agg(
+    return ranked(df, by, value).groupBy(*by).agg(
         F.min(value).alias("min"),
+        *[quantile(value, p).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))],
         (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"),
         F.max(value).alias("max"),
         F.sum("n").alias("n"),
     )
-    quartiles = quantiles_of_counts(counts, by, value, (0.25, 0.5, 0.75), ("q1", "median", "q3"))
-    return basic.join(quartiles, by) if by else _side_by_side(basic, quartiles)
-
-
-def _side_by_side(one: DataFrame, other: DataFrame) -> DataFrame:
-    """Two single-row results as one row."""
-    both = one.unionByName(other, allowMissingColumns=True)
-    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def followup_length(df: DataFrame) -> DataFrame:
     """Total and median follow-up in months, one person per row."""
     lengths = df.select(cal.calendar_div(F.col("baseline"), F.col("end_date"), 1).alias("length"))
-    counts = value_counts(lengths, [], "length")
-    total = counts.agg(F.sum(F.col("length") * F.col("n")).alias("tot_length"))
-    return _side_by_side(total, quantiles_of_counts(counts, [], "length", (0.5,), ("med_length",)))
+    # Months are few distinct numbers, so they are counted before they are ordered.
+    counts = lengths.groupBy("length").agg(_count())
+    return ranked(counts, [], "length", F.col("n")).agg(
+        F.sum(F.col("length") * F.col("n")).alias("tot_length"), quantile("length", 0.5).alias("med_length")
+    )
 
 
 def overall_weight_stats(summary: DataFrame) -> DataFrame:
@@ -138,8 +138,8 @@ def boot_percentiles(curves: DataFrame, measures: Sequence[str], probs=(0.025, 0
 
 
 def boot_se(curves: DataFrame, measures: Sequence[str]) -> DataFrame:
-    """Standard deviation of each measure per time over the replicates."""
-    return curves.groupBy("time").agg(*[F.stddev_samp(m).alias(f"se_{m}") for m in measures])
+    """Standard deviation of each measure per time over the replicates, undefined values left out."""
+    return curves.groupBy("time").agg(*[F.stddev_samp(F.when(~F.isnan(m), F.col(m))).alias(f"se_{m}") for m in measures])
 
 
 def summarise_bootstrap(
@@ -153,7 +153,3 @@ def summarise_bootstrap(
     placed = on_reference_grid(curves, measures, reps) if mode == "asof" else curves
     spread = boot_percentiles(placed, measures) if kind == "percentile" else boot_se(placed, measures)
     return curves.where("rep = 0").drop("rep").join(spread, "time", "left")
-
-
-def count_rows(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(_count())

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from riskline.functions.expressions import ratio
 from riskline.operators.lineage import written
 
-# A curve is broadcast to its rows only up to this many distinct times; it is joined otherwise.
-BROADCAST_ROWS = 500_000
+# Weights are summed as decimals: exact whatever their order, so what leaves a risk set is what entered it.
+WEIGHT = "decimal(38,15)"
+
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 # Default event codes.
 CAUSES = {"primary": 1, "competing": 2}
@@ -46,9 +48,10 @@ def risk_sets(
 ) -> DataFrame:
     """Weight at risk and event weight per cause at every distinct start or stop time.
 
-    A row is at risk over ``(start, stop]``; rows that do not last carry no weight.
+    A row is at risk over ``(start, stop]``; rows that do not last carry no weight.  A
+    weight counts to 15 decimals.
     """
-    w = F.lit(1) if weight is None else weight
+    w = F.lit(1) if weight is None else weight if dict(df.select(weight.alias("w")).dtypes)["w"] in WHOLE else weight.cast(WEIGHT)
     rows = df.withColumn("_w", F.when(F.col(start) < F.col(stop), w).otherwise(F.lit(0) * w))
     none = F.lit(0) * F.col("_w")
     enter = F.struct(
@@ -66,17 +69,22 @@ def risk_sets(
     )
     entered = F.sum("enter").over(_before(by))
     left = F.sum("leave").over(_before(by))
-    return sums.withColumn("n_risk", F.coalesce(entered - left, F.lit(0)))
+    out = sums.withColumn("n_risk", F.coalesce(entered - left, F.lit(0)))
+    if weight is None:
+        return out
+    return out.withColumns({c: F.col(c).cast("double") for c in ("enter", "leave", "n_risk", *[f"n_{c}" for c in causes])})
 
 
 def _curve(sets: DataFrame, by: Sequence[str], causes: Mapping[str, int]) -> DataFrame:
     """All grid times with hazards, survival and cumulative incidence."""
     hazards = {
-        f"h_{c}": F.when(F.col(f"n_{c}") > 0, F.col(f"n_{c}") / F.col("n_risk")).otherwise(F.lit(0.0))
+        f"h_{c}": F.coalesce(F.when(F.col(f"n_{c}") > 0, F.try_divide(F.col(f"n_{c}"), F.col("n_risk"))), F.lit(0.0))
         for c in causes
     }
     df = sets.withColumns(hazards)
     h = sum((F.col(f"h_{c}") for c in causes), F.lit(0.0))
+    # All causes are held together, so that survival and incidences add up to one.
+    df = df.withColumns({f"h_{c}": F.col(f"h_{c}") / F.greatest(h, F.lit(1.0)) for c in causes})
     df = df.withColumn("h", F.least(h, F.lit(1.0))).withColumn("surv", F.product(1 - F.col("h")).over(_upto(by)))
     df = df.withColumn("surv_before", F.lag("surv", 1, 1.0).over(_ordered(by)))
     return df.withColumns(
@@ -239,8 +247,6 @@ def robust_incidence(
     lookup = grid.select(
         *by, "time", F.struct(*[f"g_{p}" for p in parts], "_unit", "_scale", *[f"risk_{c}" for c in causes]).alias("_at")
     )
-    if grid.count() <= BROADCAST_ROWS:
-        lookup = F.broadcast(lookup)
     rows = rows.join(lookup.withColumnsRenamed({"time": "_a", "_at": "_in"}), [*by, "_a"])
     rows = rows.join(lookup.withColumnsRenamed({"time": "_b", "_at": "_out"}), [*by, "_b"])
     had = F.col("_e").isin(*causes.values()).cast("double")

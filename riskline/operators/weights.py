@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
+from functools import reduce
+from operator import and_
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskline.operators.glm import Category, Logit, Numeric, Spline, cells, fit_logits, fitted, levels, spread
+from riskline.operators.glm import Category, Logit, Numeric, Spline, cells, fit_logits, fitted, levels
 from riskline.operators.lineage import written
-from riskline.operators.quantiles import quantiles_of_counts, value_counts
-
-# Coefficients are broadcast to the rows up to this many numbers, joined otherwise.
-BROADCAST_NUMBERS = 4_000_000
+from riskline.operators.quantiles import quantile, ranked
 
 # Covariates of the weight models.
 BASELINE_COVARIATES = ("race", "sex", "first_elig_state", "enroll_period")
@@ -33,11 +32,13 @@ def weight_models(
     dropout: bool = True,
     by: tuple[str, ...] = ("rep", "exposed"),
     base_age: Spline | None = None,
+    given: Mapping[str, tuple] | None = None,
 ) -> list[Logit]:
     """Exposure, adherence and drop-out models; ``omit`` leaves covariates out of all of them.
 
     Interval models are fitted per group in ``by``.  The drop-out model is on
     remaining under observation and also uses the current adherence flag.
+    ``given`` replaces the terms of the models it names.
     """
     cat = lambda names: tuple(Category(c, lv[c]) for c in names if c not in omit)
     lags = (Numeric("screen_1"), Numeric("screen_2"))
@@ -53,7 +54,7 @@ def weight_models(
             Logit("stay_num", "stay", (age, *now, *lags), by=by),
             Logit("stay_den", "stay", (age, *now, *lags, *full), by=by),
         ]
-    return models
+    return [replace(m, terms=tuple(given[m.name])) if given and m.name in given else m for m in models]
 
 
 def model_cells(df: DataFrame, age: str, first: Column, dropout: bool = True) -> DataFrame:
@@ -66,7 +67,7 @@ def model_cells(df: DataFrame, age: str, first: Column, dropout: bool = True) ->
     if dropout:
         df, columns = df.withColumn("stay", (F.col("drop") == 0).cast("int")), [*columns, "stay"]
     table = cells(df, columns, {"freq": F.col("mult"), "n_base": F.when(first, F.col("mult")).otherwise(0)})
-    return written(spread(table, ["rep", "exposed"]), "cells")
+    return written(table, "cells")
 
 
 def fit_weight_models(
@@ -76,6 +77,7 @@ def fit_weight_models(
     dropout: bool = True,
     age_as_category: bool = False,
     pooled: bool = False,
+    given: Mapping[str, tuple] | None = None,
 ) -> tuple[list[Logit], DataFrame]:
     """Fit all models on the cells; returns the models and one coefficient row per (rep, exposed).
 
@@ -86,7 +88,7 @@ def fit_weight_models(
     spline = Spline(age, float(lo), float(hi))
     term = Category(age, lv[age]) if age_as_category else spline
     by = ("rep",) if pooled else ("rep", "exposed")
-    models = weight_models(term, lv, omit, dropout, by, spline)
+    models = weight_models(term, lv, omit, dropout, by, spline, given)
     beta = fit_logits(table, models)
     marginal = {
         r["rep"]: r["p"]
@@ -105,10 +107,8 @@ def fit_weight_models(
         [T.StructField("rep", T.IntegerType()), T.StructField("exposed", T.IntegerType()), T.StructField("p_exposed", T.DoubleType())]
         + [T.StructField(f"beta_{m.name}", T.ArrayType(T.DoubleType())) for m in models]
     )
-    coefs = table.sparkSession.createDataFrame(rows, schema)
-    if sum(np.size(b) for b in beta.values()) <= BROADCAST_NUMBERS:
-        coefs = F.broadcast(coefs)
-    return models, coefs
+    # Two rows per replicate, a few hundred numbers each: bounded by the replicates asked for, not by the data.
+    return models, F.broadcast(table.sparkSession.createDataFrame(rows, schema))
 
 
 def exposure_weight(p_marginal: Column, p_fitted: Column) -> Column:
@@ -163,14 +163,15 @@ def weight_summary(
 ) -> DataFrame:
     """Count, mean, min, p5, p95 and max of the weight over adherent rows per group."""
     by = list(by)
-    counts = value_counts(df.where("cum_screen = 1"), by, weight, freq)
-    basic = counts.groupBy(*by).agg(
+    rows = ranked(df.where("cum_screen = 1"), by, weight, freq)
+    return rows.groupBy(*by).agg(
         F.sum("n").alias("n"),
         (F.sum(F.col(weight) * F.col("n")) / F.sum("n")).alias("avg_wt"),
         F.min(weight).alias("min_wt"),
         F.max(weight).alias("max_wt"),
+        quantile(weight, 0.05).alias("p5_wt"),
+        quantile(weight, 0.95).alias("p95_wt"),
     )
-    return basic.join(quantiles_of_counts(counts, by, weight, (0.05, 0.95), ("p5_wt", "p95_wt")), by, "left")
 
 
 def mean_weight_summary(df: DataFrame, by: Sequence[str], weight: str = "wt_final", freq: Column | None = None) -> DataFrame:
@@ -184,12 +185,8 @@ def mean_weight_summary(df: DataFrame, by: Sequence[str], weight: str = "wt_fina
 def truncate_weight(
     df: DataFrame, summary: DataFrame, by: Sequence[str] = ("rep", "age_start"), weight: str = "wt_final", cap: float = 100.0
 ) -> DataFrame:
-    """Weights above ``cap`` replaced by the group's 95th percentile.
-
-    Only the few rows above the cap meet the summary, so the bulk of the rows is
-    neither shuffled nor joined.
-    """
-    by = list(by)
-    low = df.where(~(F.col(weight) > cap))
-    high = df.where(F.col(weight) > cap).join(summary.select(*by, "p95_wt"), by, "left")
-    return low.unionByName(high.withColumn(weight, F.col("p95_wt")).select(*df.columns))
+    """Weights above ``cap`` replaced by the group's 95th percentile; NULL weights stay NULL."""
+    known = summary.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("p95_wt").alias("_p95"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    cut = F.when(F.col(weight) > cap, F.col("_p95")).otherwise(F.col(weight))
+    return df.join(known, same, "left").withColumn(weight, cut).select(*df.columns)

@@ -100,10 +100,12 @@ def replicate_panel(rows: DataFrame, reps: int, seed: int = 1, method: str = "po
 
 
 def replicate_weights(
-    rows: DataFrame, reps: int = 0, omit: Sequence[str] = (), seed: int = 1, method: str = "poisson"
+    rows: DataFrame, reps: int = 0, omit: Sequence[str] = (), seed: int = 1, method: str = "poisson", given=None
 ) -> DataFrame:
     """Interval and final weights of every replicate; ``rows`` come from ``apply_protocol``.
 
+    ``given`` maps names of weight models to other terms for them.
+
     The rows are written once, so neither the model cells nor the scoring repeat
     the panel build.  For scoring they are clustered by person before they are
     multiplied by replicate, so the copies themselves are never shuffled.
@@ -114,7 +116,7 @@ def replicate_weights(
     rows = written(rows, "model-rows")
     first = F.col("int") == 1
     table = weights.model_cells(replicate_panel(rows, reps, seed, method), "age_start", first)
-    models, coefs = weights.fit_weight_models(table, omit=omit)
+    models, coefs = weights.fit_weight_models(table, omit=omit, given=given)
     copies = replicate_panel(rows.repartition("bene_id"), reps, seed, method)
     return weights.cumulative_weights(weights.interval_weights(copies, models, coefs, first))
 
@@ -152,12 +154,13 @@ def weighted_analysis(
     interval_mode: str = "asof",
     periods: Sequence[tuple[int, int]] = ENROLL_PERIODS,
     tolerance: float = 0.25,
+    given=None,
 ) -> DataFrame:
     """Sampling, protocol, weights, curves and bootstrap intervals in one plan."""
     rows = apply_protocol(sampled_panel(panel, fractions, seed), every_years, tolerance, periods)
     if weight_kind == "crude":
         return survival.tidy_curve(survival.robust_incidence(rows), extra=("se", "lower", "upper"))
-    curves = weighted_curves(replicate_weights(rows, reps, omit, seed, method), weight_kind, mode)
+    curves = weighted_curves(replicate_weights(rows, reps, omit, seed, method, given), weight_kind, mode)
     curves = written(curves, "curves")
     return summary.summarise_bootstrap(curves, summary.curve_measures(), reps, interval_mode)
 
@@ -194,3 +197,13 @@ def yearly_curves(rows: DataFrame, weighted: bool = False, origin: float = 18.0)
         summ = weights.mean_weight_summary(rows, ["rep", "age"], freq=F.col("mult"))
         res = res.join(summ.withColumnRenamed("age", "time"), ["rep", "time"], "left")
     return res
+
+
+def yearly_bootstrap(rows: DataFrame, reps: int, weighted: bool = False, seed: int = 1, method: str = "poisson") -> DataFrame:
+    """Yearly risks and differences over three causes with bootstrap standard errors of all nine."""
+    if weighted:
+        replicates = written(yearly_weights(rows, reps, seed, method), "yearly-weighted")
+    else:
+        replicates = replicate_panel(rows, reps, seed, method)
+    curves = written(yearly_curves(replicates, weighted), "yearly-curves")
+    return summary.summarise_bootstrap(curves, summary.curve_measures(tuple(YEARLY_CAUSES), ratios=False), reps, kind="se")

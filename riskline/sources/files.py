@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskline.operators.lineage import written
 from riskline.sources import schema as sc
 
 
@@ -42,7 +43,15 @@ def read_panel_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def write_panel(panel: DataFrame, root: str, analysis: str) -> None:
     """Panel as Parquet under its analysis name, split by race and sex for stratum reads."""
-    panel.write.mode("overwrite").partitionBy("race", "sex").parquet(f"{root}/analysis={analysis}")
+    _by_folder(panel, ["race", "sex"]).write.mode("overwrite").partitionBy("race", "sex").parquet(f"{root}/analysis={analysis}")
+
+
+# A folder gets at most this many files, so that one holding most rows is still written by many tasks.
+FILES = 16
+
+
+def _by_folder(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.repartition(*columns, F.pmod(F.xxhash64("bene_id"), F.lit(FILES)))
 
 
 def read_panel(spark: SparkSession, root: str, analysis: str = "main", stratum: tuple[str, object] | None = None) -> DataFrame:
@@ -57,8 +66,9 @@ def write_strata(df: DataFrame, root: str, columns: Sequence[str] = ("race", "se
     """One folder tree per column with a folder per value; values outside ``levels`` are left out."""
     # The strata that are written.
     levels = levels or {"race": (1, 2, 3), "sex": ("M", "F")}
+    df = written(df, "strata")
     for c in columns:
-        kept = df.where(F.col(c).isin(list(levels[c])))
+        kept = _by_folder(df.where(F.col(c).isin(list(levels[c]))), [c])
         kept.write.mode("overwrite").partitionBy(c).parquet(f"{root}/by_{c}")
 
 
@@ -74,14 +84,19 @@ def result_path(
 ) -> str:
     """Folder of a result, unique per analysis, protocol, stratum, weighting and replicate mode."""
     protocol = "none" if every_years is None else f"{every_years:g}yr"
-    mode = "point" if reps == 0 else "bootstrap"
+    mode = "point" if reps == 0 else f"bootstrap{reps}"
     return (
         f"{root}/analysis={analysis}/weights={weight_kind}/protocol={protocol}/stratum={stratum or 'all'}/mode={mode}"
     )
 
 
-def write_result(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write a result as Parquet, or as CSV with a header."""
+def write_result(df: DataFrame, path: str, fmt: str = "parquet", order: Sequence[str] = ()) -> None:
+    """Write a result as Parquet, or as CSV with a header.
+
+    With ``order`` the files, read by name one after the other, give the rows in that order.
+    """
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     writer = df.write.mode("overwrite")
     if fmt == "csv":
         writer.option("header", True).option("nullValue", "NA").csv(path)

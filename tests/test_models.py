@@ -48,14 +48,6 @@ def test_fit_matches_plain_least_squares(table, models):
     assert np.allclose(x.T @ (w * (y - got)), 0, atol=1e-4 * len(y))
 
 
-def test_both_ways_of_fitting_agree(table, models):
-    some = [m for m in models if m.name in ("exposure", "adherence_num")]
-    whole, together = glm.fit_logits(table, some), glm.fit_logits(table, some, task_cells=0)
-    assert set(whole) == set(together)
-    for key in whole:
-        assert np.allclose(whole[key], together[key], atol=1e-4), key
-
-
 def test_cells_keep_every_row(spark, table):
     n = st.replicate_panel(cat.rows(spark, SF), 2).groupBy("rep").agg(F.sum("mult").alias("n"))
     want = {r["rep"]: r["n"] for r in n.collect()}
