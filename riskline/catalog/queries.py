@@ -1069,7 +1069,7 @@ _SCORES = {
     ) + ")",
 )
 def score_equations(spark, sf):
-    """Per model and group: rows, events, and the largest score of any term at the fit, in thousandths of a row."""
+    """Per model and group: rows, events, and the largest score of any term at the fit, in hundredths of a residual per row."""
     df = rows(spark, sf).select(*st.MODEL_COLUMNS).withColumns({"rep": F.lit(0), "mult": F.lit(1)})
     table = weights.model_cells(df, "age_start", F.col("int") == 1)
     models, coefs = weights.fit_weight_models(table)
@@ -1079,7 +1079,7 @@ def score_equations(spark, sf):
         gap = (F.col(m.outcome) - glm.fitted(m.terms, F.col(f"beta_{m.name}"))) * F.col(m.freq)
         sums = [F.abs(F.sum(x * gap)) for x in (F.lit(1.0), *glm.term_columns(m.terms))]
         one = scored.where(F.col(m.freq) > 0).groupBy(group.alias("exposed")).agg(
-            F.sum(m.freq).alias("n"), F.sum(F.col(m.outcome) * F.col(m.freq)).alias("events"), F.floor(F.greatest(*sums) * 1000).alias("worst")
+            F.sum(m.freq).alias("n"), F.sum(F.col(m.outcome) * F.col(m.freq)).alias("events"), F.floor(F.greatest(*sums) * 100 / F.sum(m.freq)).alias("worst")
         ).withColumn("model", F.lit(m.name))
         out = one if out is None else out.unionByName(one)
     return out
