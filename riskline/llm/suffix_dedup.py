@@ -9,8 +9,8 @@ smaller doc_id, or earlier in the document).  All strings are judged on the inpu
 2. Equal runs are brought together by the hash of their bytes, first in each
    batch and then by a shuffle.  All but the first copy of a run start later than
    it; the first copies stand for all of them in the sort.
-3. First copies whose hash has several different runs, or which may hold equal windows
-   themselves, go to shards by that hash.
+3. First copies that may hold a window of another run (the same hash, and the same bytes on
+   one side of it) or equal windows themselves go to shards by the hash.
    A task writes the runs of a shard to a file in order of place, and sorts its
    suffixes by external induced sorting with common prefixes (see induced.py).
    Among neighbours that share ``window`` bytes the first place stays, and the
@@ -26,6 +26,7 @@ text.  An empty table stays empty; added columns replace columns of the same nam
 
 from __future__ import annotations
 
+import gc
 import math
 import mmap
 import os
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -44,8 +45,8 @@ from riskline.llm.text import fresh
 from riskline.operators.lineage import written
 
 WINDOW, GRAM = 100, 32
-#: Mean bytes of a shard.
-SHARD = 4_000_000
+#: Mean bytes of a shard; a task's scratch files take some fifty times as much.
+SHARD = 1_000_000
 #: Never part of UTF-8, so it separates the runs of a shard.
 BETWEEN = 0xFF
 KEY = ("z", "d", "b")
@@ -63,7 +64,7 @@ def _bytes(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(t.encode(), np.uint8) for t in column.to_pylist()]
 
 
-RUNS = "copy boolean, again boolean, owner long, seg long, z boolean, d long, b long, first int, last int"
+RUNS = "copy boolean, again boolean, several boolean, owner long, seg long, left int, right int, z boolean, d long, b long, first int, last int"
 
 
 def _runs(keyed: DataFrame, window: int, gram: int) -> DataFrame:
@@ -74,22 +75,23 @@ def _runs(keyed: DataFrame, window: int, gram: int) -> DataFrame:
             found = [winnow.runs(t, window, gram) for t in _bytes(batch.column("text"))]
             if not found:
                 continue
-            doc = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-            owner, first, last, seg, again = (np.concatenate([f[k] for f in found]) for k in range(5))
-            z, d, b = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False))[doc] for c in KEY)
-            order = np.lexsort((first, b, d, z, seg, owner))
-            owner, seg, z, d, b, first, last, again = (x[order] for x in (owner, seg, z, d, b, first, last, again))
-            new = np.ones(len(owner), bool)
-            new[1:] = (owner[1:] != owner[:-1]) | (seg[1:] != seg[:-1])
+            doc = np.repeat(np.arange(len(found)), [len(f.owner) for f in found])
+            c = {k: np.concatenate([getattr(f, k) for f in found]) for k in ("again", "several", "owner", "seg", "left", "right", "first", "last")}
+            c |= {k: np.asarray(batch.column(k).to_numpy(zero_copy_only=False))[doc] for k in KEY}
+            order = np.lexsort((c["first"], c["b"], c["d"], c["z"], c["seg"], c["owner"]))
+            c = {k: v[order] for k, v in c.items()}
+            new = np.ones(len(order), bool)
+            new[1:] = (c["owner"][1:] != c["owner"][:-1]) | (c["seg"][1:] != c["seg"][:-1])
             head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            same = (z == z[head]) & (d == d[head]) & (b == b[head]) & (first == first[head])
-            columns = [~same, again, owner.view(np.int64), seg.view(np.int64), z, d, b, first.astype(np.int32), last.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["copy", "again", "owner", "seg", *KEY, "first", "last"])
+            c["copy"] = ~np.logical_and.reduce([c[k] == c[k][head] for k in (*KEY, "first")])
+            c |= {k: c[k].view(np.int64) for k in ("owner", "seg")} | {k: c[k].astype(np.int32) for k in ("left", "right", "first", "last")}
+            names = [f.split()[0] for f in RUNS.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c[k]) for k in names], names)
 
     return keyed.mapInArrow(find, RUNS)
 
 
-def _shards(runs: DataFrame, keyed: DataFrame, window: int, shard: int, n_shards: int) -> DataFrame:
+def _shards(runs: DataFrame, keyed: DataFrame, window: int, n_shards: int) -> DataFrame:
     """(shard, key, first, bytes) of every run, cut from its text."""
     per_doc = runs.groupBy(*KEY).agg(F.collect_list(F.struct(F.pmod(F.xxhash64("owner"), F.lit(n_shards)).alias("s"), "first", "last")).alias("runs"))
     joined = keyed.join(per_doc.hint("shuffle_hash"), list(KEY))
@@ -132,32 +134,47 @@ class _Shard:
         """(key, first, last) of the windows that another one equals which starts earlier."""
         self.file.flush()
         n, window = self.size, self.window
-        text = mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
+        text = np.frombuffer(mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ), np.uint8)
         folder = induced.Folder(self.path)
-        marks = folder.mapped(n, "B")
+        marks, fits = folder.zeros(n, np.uint8), folder.zeros(n, np.uint8)
         ends = [s - window for s in [*self.starts[1:], n]]
-        fits = folder.mapped(n, "B")
         for a, e in zip(self.starts, ends, strict=True):
-            fits[a:e] = b"\x01" * (e - a)
+            fits[a:e] = 1
+        # Suffixes that share a window with the one before form groups; places lie in the file in
+        # order, so the smallest position of a group is the earliest place and stays.
         lowest, shared = -1, 0
-        for at, length in induced.suffixes(text, n, window, folder):
-            shared = min(shared, length)
-            if not fits[at]:
-                continue
-            if lowest >= 0 and shared >= window:
-                # Places lie in the file in order, so the smaller position is the earlier one.
-                marks[max(lowest, at)] = 1
-                lowest = min(lowest, at)
+        for at, lengths in induced.suffixes(text, window, folder):
+            new = lengths < window
+            group = np.cumsum(new)
+            shared = 0 if new[0] else shared
+            if not new[0] and lowest >= 0:
+                group += 1  # the group goes on from the block before, whose smallest position comes first
+                at, group = np.r_[lowest, at], np.r_[1, group]
+                own = np.r_[True, fits[at[1:]] == 1]
             else:
-                lowest = at
-            shared = window
+                own = fits[at] == 1
+            at, last_group = at[own], group[-1]
+            group = group[own]
+            lowest = -1
+            if len(at):
+                edge = np.r_[0, np.flatnonzero(group[1:] != group[:-1]) + 1]
+                least = np.minimum.reduceat(at, edge)
+                marks[at] = 1
+                marks[least] = 0
+                if group[-1] == last_group:
+                    lowest = int(least[-1])
         for key, a, e in zip(self.keys, self.starts, ends, strict=True):
-            hit = np.frombuffer(marks[a:e], np.uint8)
-            edge = np.flatnonzero(np.diff(np.r_[0, hit, 0].astype(np.int8)))
+            edge = np.flatnonzero(np.diff(np.r_[0, marks[a:e], 0].astype(np.int8)))
             for first, stop in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                 yield (*key[:3], key[3] + first, key[3] + stop - 1)
 
 
+def _released(spark: SparkSession) -> None:
+    """Lets the driver drop plans that are done with, so that Spark removes their shuffle files now and not at its next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 SPANS = "z boolean, d long, b long, first int, last int"
 
 
@@ -198,21 +215,35 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     """(z, d, b, first, last): runs of windows of each document that also start earlier."""
     keyed = _keyed(docs)
     runs = _runs(keyed, window, gram)
-    at = F.struct(*KEY, "first")
-    per_owner, per_run = W.partitionBy("owner"), W.partitionBy("owner", "seg").orderBy(at)
-    met = (
-        runs.where("NOT copy").drop("copy")
-        .withColumn("several", F.min("seg").over(per_owner) != F.max("seg").over(per_owner))
-        .withColumn("n", F.rank().over(per_run))
-    )
-    met = written(met.where("several OR again OR n > 1").select("owner", *KEY, "first", "last", (F.col("n") > 1).alias("later"), F.expr("several OR again").alias("open")), "runs")
+    met = written(_met(runs), "runs")
+    _released(docs.sparkSession)
     open_runs = met.where("NOT later AND open")
     total = open_runs.agg(F.sum(F.col("last") - F.col("first") + window + 1)).first()[0] or 0
     n_shards = max(1, math.ceil(total / shard))
-    cut = _shards(open_runs, keyed, window, shard, n_shards)
-    sorted_out = _sorted_out(cut.repartition(n_shards, "shard").sortWithinPartitions("shard", *KEY, "first"), window)
+    cut = _shards(open_runs, keyed, window, n_shards).repartition(n_shards, "shard").sortWithinPartitions("shard", *KEY, "first")
+    spans = written(_sorted_out(cut, window), "spans")
+    del cut
+    _released(docs.sparkSession)
     columns = [*KEY, "first", "last"]
-    return written(sorted_out, "spans").unionByName(met.where("later").select(*columns)).unionByName(runs.where("copy").select(*columns))
+    return spans.unionByName(met.where("later").select(*columns)).unionByName(runs.where("copy").select(*columns))
+
+
+def _met(runs: DataFrame) -> DataFrame:
+    """The first of equal runs with whether it is open, that is, goes to the sort, and the later ones."""
+    per_run = W.partitionBy("owner", "seg").orderBy(F.struct(*KEY, "first"))
+
+    def differ(*by: str) -> Column:
+        """Whether the runs that agree in the owner and ``by`` are of several kinds."""
+        group = W.partitionBy("owner", *by)
+        return F.min("seg").over(group) != F.max("seg").over(group)
+
+    # Equal windows of different runs agree in a side of the owner, unless that stands at several places.
+    sides = (F.col("left") >= 0) & differ("left") | (F.col("right") >= 0) & differ("right")
+    met = runs.where("NOT copy").withColumns({
+        "open": F.col("again") | differ() & (F.max("several").over(W.partitionBy("owner")) | sides),
+        "n": F.rank().over(per_run),
+    })
+    return met.where("open OR n > 1").select("owner", *KEY, "first", "last", (F.col("n") > 1).alias("later"), "open")
 
 
 def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
