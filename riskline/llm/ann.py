@@ -97,34 +97,58 @@ class Lists:
         return int(np.quantile(np.take_along_axis(place, own[near], axis=1), TARGET, method="higher")) + 1
 
 
-def _scan(entries: np.ndarray, rotated: np.ndarray, q: np.ndarray, q_rotated: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and distances of the entries that may be among the k nearest of a query, by adaptive dimension scan."""
+#: Queries and entries compared at once, and the share of pairs left at which they are followed one by one.
+AT_ONCE, STEP, SPARSE = 512, 4096, 0.25
+
+
+def _scan(entries: np.ndarray, rotated: np.ndarray, asked: np.ndarray, turned: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(query, entry, distance) of the pairs that may be among the k nearest of a query, by adaptive dimension scan."""
+    kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    bound = np.full(len(asked), np.inf)
+    at = 0
+    while at < len(entries):
+        # The first few are compared whole: they set the bounds.
+        stop = min(len(entries), at + (4 * k if at == 0 else STEP))
+        found = [_survivors(rotated[at:stop], turned[q : q + AT_ONCE], bound[q : q + AT_ONCE]) for q in range(0, len(asked), AT_ONCE)]
+        qi = np.concatenate([f[0] + i * AT_ONCE for i, f in enumerate(found)])
+        ei = np.concatenate([f[1] for f in found]) + at
+        far = np.empty(len(qi))
+        for i in range(0, len(qi), 1 << 16):
+            diff = entries[ei[i : i + (1 << 16)]].astype(np.float64) - asked[qi[i : i + (1 << 16)]]
+            far[i : i + (1 << 16)] = np.sqrt((diff * diff).sum(axis=1))
+        qi, ei, far = np.r_[kept[0], qi], np.r_[kept[1], ei], np.r_[kept[2], far]
+        order = np.lexsort((far, qi))
+        qi, ei, far = qi[order], ei[order], far[order]
+        starts = np.searchsorted(qi, np.arange(len(asked) + 1))
+        full = starts[1:] - starts[:-1] >= k
+        bound[full] = far[starts[:-1][full] + k - 1]
+        near = far <= bound[qi]
+        kept = [qi[near], ei[near], far[near]]
+        at = stop
+    return tuple(kept)
+
+
+def _survivors(rotated: np.ndarray, turned: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of queries and entries that no test abandons, column block by column block."""
     dims = rotated.shape[1]
-    kept_at, kept_far = np.zeros(0, int), np.zeros(0)
-    bound = np.inf
-    step = max(4 * k, 64)
-    for a in range(0, len(entries), step):
-        at = np.arange(a, min(a + step, len(entries)))
-        partial = np.zeros(len(at), np.float32)
-        for d in range(0, dims, BLOCK):
-            e = min(d + BLOCK, dims)
-            diff = rotated[at, d:e] - q_rotated[d:e]
-            partial += (diff * diff).sum(axis=1)
-            if np.isfinite(bound) and e < dims:
-                alive = partial <= bound * bound * (e / dims) * (1 + ERROR / math.sqrt(e)) ** 2
-                at, partial = at[alive], partial[alive]
-                if not len(at):
-                    break
-        if len(at):
-            far = np.sqrt(((entries[at].astype(np.float64) - q) ** 2).sum(axis=1))
-            kept_at, kept_far = np.concatenate([kept_at, at]), np.concatenate([kept_far, far])
-            if len(kept_at) > k:
-                bound = np.partition(kept_far, k - 1)[k - 1]
-                near = kept_far <= bound
-                kept_at, kept_far = kept_at[near], kept_far[near]
-            # Later steps are longer: the bound is known by then.
-            step = 4096
-    return kept_at, kept_far
+    partial, pairs, value = np.zeros((len(turned), len(rotated)), np.float32), None, None
+    for d in range(0, dims, BLOCK):
+        e = min(d + BLOCK, dims)
+        # At the last block the estimate is the distance, but for rounding.
+        slack = (1 + ERROR / math.sqrt(e)) ** 2 if e < dims else 1.001
+        limit = bound * bound * (e / dims) * slack
+        if pairs is None:
+            partial += _squares(turned[:, d:e], rotated[:, d:e])
+            alive = partial <= limit[:, None]
+            if e == dims or alive.mean() < SPARSE:
+                pairs = np.nonzero(alive)
+                value = partial[pairs]
+        else:
+            diff = turned[pairs[0], d:e] - rotated[pairs[1], d:e]
+            value = value + (diff * diff).sum(axis=1)
+            alive = value <= limit[pairs[0]]
+            pairs, value = (pairs[0][alive], pairs[1][alive]), value[alive]
+    return pairs
 
 
 def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = 10) -> DataFrame:
@@ -140,7 +164,10 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
     empty = spark.createDataFrame([], f"query_id long, rank int, {key} long, score double")
     if not n:
         return empty
-    some = entries.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).collect()
+    # The share is cut by hash first, so that no task sends many more vectors than are taken.
+    draw = F.pmod(F.xxhash64("vec"), F.lit(1 << 40))
+    share = min(1.0, 1.1 * SAMPLE / n)
+    some = entries.select("vec").where(draw < int(share * (1 << 40))).orderBy(draw, "vec").limit(SAMPLE).collect()
     lists = Lists(np.array([r["vec"] for r in some], np.float32), n, k)
     shared = spark.sparkContext.broadcast(lists)  # at most MAX_LISTS centroids and a square matrix of the dimensions
 
@@ -193,12 +220,14 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
             ids = chunk["ids"].tolist()
             asked = np.array(block["qvec"].tolist(), np.float32)
             turned = asked @ shared.value.rotation
-            for q, whole, turn in zip(block["qid"].tolist(), asked.astype(np.float64), turned, strict=True):
-                at, far = _scan(vec, rotated, whole, turn, k + 1)
-                best = sorted((f, i) for a, f in zip(at.tolist(), far.tolist(), strict=True) for i in ids[a])[: k + 1]
-                qid += [q] * len(best)
-                vid += [i for _, i in best]
-                score += [f for f, _ in best]
+            own, names = [[] for _ in asked], block["qid"].tolist()
+            for q, e, far in zip(*(x.tolist() for x in _scan(vec, rotated, asked.astype(np.float64), turned, k + 1)), strict=True):
+                own[q] += [(far, i) for i in ids[e]]
+            for q, near in zip(names, own, strict=True):
+                near = sorted(near)[: k + 1]
+                qid += [q] * len(near)
+                vid += [i for _, i in near]
+                score += [f for f, _ in near]
         return pd.DataFrame({"qid": np.array(qid, np.int64), "id": np.array(vid, np.int64), "score": np.array(score, np.float64)})
 
     keys = ["list", "chunk", "block"]
