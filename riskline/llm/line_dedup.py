@@ -90,9 +90,12 @@ def repeated_lines(docs: DataFrame, w: Window = Window()) -> DataFrame:
     """
     found = written(windows(docs, w), "windows")
     marks = found.groupBy("mark").agg(F.min(place("mark_at")).alias("a"), F.max(place("mark_at")).alias("z")).where("a <> z").select("mark")
+    # Written, so that the joins are between plain exchanges and Spark can split the hot keys of their left sides.
+    marks = written(marks, "marks")
     grown = found.join(marks, "mark", "left_semi").select("doc_id", "body", "first", F.explode("runs").alias("r"))
     runs = written(grown.select("doc_id", "body", "first", "r.last", "r.run"), "runs")
     firsts = runs.groupBy("run").agg(F.min(place("first")).alias("a"), F.max(place("first")).alias("z")).where("a <> z").select("run", "a")
+    firsts = written(firsts, "firsts")
     later = runs.join(firsts, "run").where(place("first") > F.col("a"))
     spans = later.groupBy("doc_id", "body", "first").agg(F.max("last").alias("last"))
     gone = F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last"))))
