@@ -38,7 +38,7 @@ from riskline.operators.lineage import written
 
 WEIGHTS, BUDGET, CEILING, SEED = (3, 1, 2), 1.5, 2.0, 42
 #: Mean documents of a group at the leaves, and undecided documents that meet further up.
-LEAF, FAN = 20_000, 64
+LEAF, FAN = 2_000, 64
 EXACT = 1e-9
 
 
