@@ -401,7 +401,10 @@ def extract(source: str, model: Model) -> str:
 
 def fitted(pages: DataFrame, sample: int = SAMPLE) -> Model:
     """The model from LAYOUTS and up to ``sample`` pages of the table that their markup labels."""
-    some = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).orderBy("page_id", "html").select("html").limit(sample).collect()
+    marked = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]"))
+    # The ids are settled first, so that no task sends more pages than are taken.
+    ids = [r[0] for r in marked.where("page_id IS NOT NULL").select("page_id").orderBy("page_id").limit(sample).collect()]
+    some = marked.where(F.col("page_id").isin(ids)).orderBy("page_id", "html").select("html").limit(sample).collect()
     return train([*layouts(), *[x for r in some if (x := by_markup(r["html"])) is not None]])
 
 
