@@ -22,6 +22,7 @@ import json
 import re
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -31,8 +32,24 @@ END = 0x10000
 #: str.split() also splits at these four, which the tokenizer keeps.
 CONTROL = re.compile("[\x1c-\x1f]")
 BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-#: Chunks kept with their tokens, and their longest length: bounds a worker's memory, not the result.
-CACHED, CACHED_CHARS = 600_000, 48
+#: Chunks, pre-tokens and token pairs that a worker remembers, and their longest length: bounds its memory, not the result.
+CHUNKS, PIECES, PAIRS, CACHED_CHARS = 200_000, 800_000, 2_000_000, 48
+#: Below this character nothing composes with its neighbours, so normal form C changes nothing; of these only
+#: the dotted capital I becomes two characters in lower case.
+SIMPLE, DOTTED = "\u0300", "\u0130"
+# The normaliser that lower-cases and the byte-level step, as tokenizer files write them.
+LOWER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def _byte_chars() -> list[str]:
+    """The character that stands for each byte: itself where it prints, else the next free one from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    free = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(free)) for b in range(256)]
+
+
+BYTE_CHARS = _byte_chars()
 
 
 class Automaton:
@@ -106,8 +123,23 @@ class Encoder:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self._learn(vocab, merges)
         self.automaton = Automaton(self._reachable(vocab, merges))
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}
         self.fits: dict[int, bool] = {}
+        self.split = self._simple_split(described)
+
+    def _simple_split(self, described: dict):
+        """The split pattern, if the file's steps are those that ``_simple`` restates."""
+        steps = (described["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if described["normalizer"] != LOWER or len(steps) != 2 or steps[1] != BYTES:
+            return None
+        cut = steps[0]
+        fits = cut.get("type") == "Split" and cut.get("behavior") == "Removed" and cut.get("invert") is True
+        return regex.compile(cut["pattern"]["Regex"]) if fits else None
+
+    def _simple(self, chunk: str) -> list[str]:
+        """Pre-tokens of a chunk of simple characters, as the library makes them."""
+        return [p if p.isascii() and p.isprintable() else "".join([BYTE_CHARS[b] for b in p.encode()]) for p in self.split.findall(chunk.lower())]
 
     def _marked(self, token: str) -> str:
         """The token with its end of word, if it has one, as a mark on its last character."""
@@ -194,22 +226,44 @@ class Encoder:
             i = back[i]
         return out[::-1]
 
+    def piece(self, piece: str) -> tuple[bytes, str]:
+        """Ids (little-endian, unsigned, 32 bits) and decoded text of a pre-token."""
+        made = self.known.get(piece)
+        if made is None:
+            ids = self.tokens(piece)
+            made = np.array(ids, "<u4").tobytes(), " ".join([self.names[t] for t in ids])
+            if len(self.fits) > PAIRS:
+                self.fits.clear()
+            if len(piece) <= CACHED_CHARS:
+                if len(self.known) >= PIECES:
+                    self.known.clear()
+                self.known[piece] = made
+        return made
+
     def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids (little-endian, unsigned, 32 bits) and decoded text of a run without white space."""
-        ids = [t for piece, _ in self.pieces(self.normalize(chunk)) for t in self.tokens(piece)]
-        made = np.array(ids, "<u4").tobytes(), " ".join([self.names[t] for t in ids])
-        if len(self.fits) > 4 * CACHED:
-            self.fits.clear()
+        """Ids and decoded text of a run without white space."""
+        if self.split and max(chunk) < SIMPLE and DOTTED not in chunk:
+            pieces = self._simple(chunk)
+        else:
+            pieces = [p for p, _ in self.pieces(self.normalize(chunk))]
+        made = self.piece(pieces[0]) if len(pieces) == 1 else self._joined([self.piece(p) for p in pieces])
         if len(chunk) <= CACHED_CHARS:
-            if len(self.cache) >= CACHED:
-                self.cache.clear()
-            self.cache[chunk] = made
+            if len(self.chunks) >= CHUNKS:
+                self.chunks.clear()
+            self.chunks[chunk] = made
         return made
 
+    @staticmethod
+    def _joined(parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+        if not parts:
+            return b"", ""
+        ids, decoded = zip(*parts, strict=True)
+        return b"".join(ids), " ".join(filter(None, decoded))
+
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids and decoded text of a whole text."""
         parts: list[tuple[bytes, str]] = []
-        known = self.cache
+        known = self.chunks
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
                 parts.append((np.array([self.added[part]], "<u4").tobytes(), part))
@@ -219,10 +273,7 @@ class Encoder:
             if None in found:
                 found = [f or self.chunk(c) for f, c in zip(found, chunks, strict=True)]
             parts += found
-        if not parts:
-            return b"", ""
-        ids, decoded = zip(*parts, strict=True)
-        return b"".join(ids), " ".join(filter(None, decoded))
+        return self._joined(parts)
 
 
 _ENCODERS: dict[int, Encoder] = {}
