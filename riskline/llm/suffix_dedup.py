@@ -8,7 +8,8 @@ smaller doc_id, or earlier in the document).  All strings are judged on the inpu
    are in runs with the same hash, and a hash that occurs once needs no look.
 2. Equal runs are brought together by the hash of their bytes, first in each
    batch and then by a shuffle.  All but the first copy of a run start later than
-   it; the first copies stand for all of them in the sort.
+   it; the first copies stand for all of them in the sort.  Which runs a batch
+   leaves out depends on how rows are batched, so the runs are found once and written.
 3. First copies that may hold a window of another run (the same hash, and the same bytes on
    one side of it) or equal windows themselves go to shards by the hash.
    A task writes the runs of a shard to a file in order of place, and sorts its
@@ -42,7 +43,7 @@ from pyspark.sql.window import Window as W
 
 from riskline.llm import induced, winnow
 from riskline.llm.text import fresh
-from riskline.operators.lineage import written
+from riskline.operators.lineage import fresh_path, remove_table, written
 
 WINDOW, GRAM = 100, 32
 #: Mean bytes of a shard; a task's scratch files take some fifty times as much.
@@ -68,7 +69,11 @@ RUNS = "copy boolean, again boolean, several boolean, owner long, seg long, left
 
 
 def _runs(keyed: DataFrame, window: int, gram: int) -> DataFrame:
-    """All runs of windows; ``copy`` marks those that start later than an equal one of the same batch."""
+    """All runs of windows; ``copy`` marks those that start later than an equal one of the same batch.
+
+    ``copy`` follows the batches, so a second evaluation may mark others: it has to be written before
+    it is read twice.  Copies carry their place only.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,7 +91,8 @@ def _runs(keyed: DataFrame, window: int, gram: int) -> DataFrame:
             c["copy"] = ~np.logical_and.reduce([c[k] == c[k][head] for k in (*KEY, "first")])
             c |= {k: c[k].view(np.int64) for k in ("owner", "seg")} | {k: c[k].astype(np.int32) for k in ("left", "right", "first", "last")}
             names = [f.split()[0] for f in RUNS.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c[k]) for k in names], names)
+            hidden = {k: c["copy"] for k in ("again", "several", "owner", "seg", "left", "right")}
+            yield pa.RecordBatch.from_arrays([pa.array(c[k], mask=hidden.get(k)) for k in names], names)
 
     return keyed.mapInArrow(find, RUNS)
 
@@ -213,24 +219,28 @@ def _sorted_out(shards: DataFrame, window: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """(z, d, b, first, last): runs of windows of each document that also start earlier."""
-    keyed = _keyed(docs)
-    runs = _runs(keyed, window, gram)
+    spark, keyed, columns = docs.sparkSession, _keyed(docs), [*KEY, "first", "last"]
+    path = fresh_path(spark, "found")
+    _runs(keyed, window, gram).write.parquet(path)
+    runs = spark.read.schema(RUNS).parquet(path)
+    copies = written(runs.where("copy").select(*columns), "copies")
     met = written(_met(runs), "runs")
-    _released(docs.sparkSession)
+    # Both parts are tables of their own now, and all runs take as much room as the texts.
+    remove_table(spark, path)
+    _released(spark)
     open_runs = met.where("NOT later AND open")
     total = open_runs.agg(F.sum(F.col("last") - F.col("first") + window + 1)).first()[0] or 0
     n_shards = max(1, math.ceil(total / shard))
     cut = _shards(open_runs, keyed, window, n_shards).repartition(n_shards, "shard").sortWithinPartitions("shard", *KEY, "first")
     spans = written(_sorted_out(cut, window), "spans")
     del cut
-    _released(docs.sparkSession)
-    columns = [*KEY, "first", "last"]
-    return spans.unionByName(met.where("later").select(*columns)).unionByName(runs.where("copy").select(*columns))
+    _released(spark)
+    return spans.unionByName(met.where("later").select(*columns)).unionByName(copies)
 
 
 def _met(runs: DataFrame) -> DataFrame:
     """The first of equal runs with whether it is open, that is, goes to the sort, and the later ones."""
-    per_run = W.partitionBy("owner", "seg").orderBy(F.struct(*KEY, "first"))
+    per_run = W.partitionBy("owner", "seg").orderBy(*KEY, "first")
 
     def differ(*by: str) -> Column:
         """Whether the runs that agree in the owner and ``by`` are of several kinds."""

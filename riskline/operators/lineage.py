@@ -36,13 +36,22 @@ def remove_tables(spark: SparkSession) -> int:
     DataFrames that still read one of them can no longer be used.
     """
     made = _MADE.pop(spark.sparkContext.applicationId, [])
-    jvm = spark.sparkContext._jvm
     for path in made:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(spark, path)
     return len(made)
 
 
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Deletes one path of ``fresh_path`` that nothing will read again."""
+    _MADE[spark.sparkContext.applicationId].remove(path)
+    _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the checkpoint folder and read back.
 

@@ -191,6 +191,27 @@ def test_repeated_bytes(docs, texts, spark):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["h"]) == w
 
 
+def test_runs_are_found_once(spark, monkeypatch):
+    """What a batch leaves out as copies depends on its rows, so the rows may be searched only once."""
+    passes = spark.sparkContext.accumulator(0)
+    passage = " ".join(f"w{i}" for i in range(60))
+    found = suffix_dedup._runs
+
+    def counted(keyed, window, gram):
+        def count(batches):
+            for b in batches:
+                passes.add(b.num_rows)
+                yield b
+
+        return found(keyed.mapInArrow(count, keyed.schema), window, gram)
+
+    monkeypatch.setattr(suffix_dedup, "_runs", counted)
+    rows = [(i, passage, "s") for i in range(40)]
+    got = suffix_dedup.removed(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(i, len(passage) if i else 0) for i in range(40)]
+    assert passes.value == len(rows)
+
+
 def test_counts_after_edits(docs, texts, spark):
     state = edit_tokens.with_trees(docs, RANKS, public_tokenizers.PATTERN)
     rng, edits, want = random.Random(9), [], {}
