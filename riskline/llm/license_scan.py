@@ -1,11 +1,13 @@
 """License scans by matching statistics against a suffix automaton of notices.
 
-The words of every notice and phrase are one generalised suffix automaton.  A text
-is streamed through it word by word; at each word it gives the longest run of
-words ending there that some notice holds (the matching statistics).  Runs that
-cannot be made longer and have at least ``MIN_RUN`` words are chained for each
-notice: runs in order in the text and in the notice, with at most ``MAX_GAP``
-foreign words between them, cover the words of a span.  A notice whose covered
+The words of every notice, whole licence text and phrase are one generalised suffix
+automaton.  A text is streamed through it word by word; at each word it gives the
+longest run of words ending there that some notice holds (the matching statistics),
+and its suffix links give the suffix of that run which each other notice holds.  Runs
+that a notice cannot make longer and that have at least ``MIN_RUN`` words are chained for
+it: runs in order in the text and in the notice, with at most ``MAX_GAP``
+foreign words between them, cover the words of a span.  A name of a licence is never
+bridged: foreign or missing words in it name another licence.  A notice whose covered
 share reaches ``COVERED`` gives its label.  The phrases of the base rule are whole
 strings of the same automaton, so each of their places ends at a state that
 holds them.
@@ -17,6 +19,7 @@ replace columns of the same name, all others pass unchanged.
 
 from __future__ import annotations
 
+import pkgutil
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
@@ -50,7 +53,25 @@ NOTICES = [
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("all-rights-reserved", "all rights reserved"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("epl", "made available under the terms of the eclipse public license"),
+    ("cc-by", "licensed under cc by 4 0"),
+    ("cc-by-nd", "licensed under cc by nd 4 0"),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0"),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0"),
 ]
+# Names of licences, which a chain covers without a gap or not at all.
+NAMES = [
+    "gnu general public license", "gnu lesser general public license", "gnu library general public license", "gnu affero general public license",
+    "gnu free documentation license", "apache license", "mozilla public license", "eclipse public license", "mit license", "artistic license",
+    "creative commons attribution", "cc by", "cc by sa", "cc by nc", "cc by nd", "cc by nc sa", "cc by nc nd",
+]
+#: Whole texts of licences, by file in ``licenses``.
+TEXTS = {
+    "Apache-2.0": "apache", "Artistic": "artistic", "BSD": "bsd", "CC0-1.0": "cc0", "GFDL-1.2": "gfdl", "GFDL-1.3": "gfdl", "GPL-1": "gpl", "GPL-2": "gpl",
+    "GPL-3": "gpl", "LGPL-2": "lgpl", "LGPL-2.1": "lgpl", "LGPL-3": "lgpl", "MPL-1.1": "mpl", "MPL-2.0": "mpl",
+}
+NOTICES += [(label, pkgutil.get_data(__package__, f"licenses/{name}.txt").decode()) for name, label in TEXTS.items()]
 MIN_RUN, MAX_GAP, COVERED = 3, 4, 0.8
 
 #: Lower-cases A-Z and makes every separating byte a space.
@@ -73,21 +94,36 @@ class Scanner:
         self.known = {w for s in split for w in s}
         # A notice equal to a phrase adds nothing to it.
         self.automaton = Automaton({s: k for k, s in reversed(list(enumerate(split)))})
+        self.split = split
         self.places = self._places(split)
+        self.behind = self._behind([tuple(words_of(n)) for n in NAMES])
 
     def _places(self, split: list[tuple[bytes, ...]]) -> list[list[tuple[int, int]]]:
         """For each state the (notice, end) at which its words stand."""
         sam = self.automaton
-        found: list[set[tuple[int, int]]] = [set() for _ in sam.next]
+        found: list[list[tuple[int, int]]] = [[] for _ in sam.next]
         for k, s in enumerate(split):
             state = 0
             for i, w in enumerate(s, 1):
                 state = sam.next[state][w]
                 u = state
-                while u:
-                    found[u].add((k, i))
+                while u and sam.size[u] >= MIN_RUN:
+                    found[u].append((k, i))
                     u = sam.link[u]
-        return [sorted(f) for f in found]
+        return found
+
+    def _behind(self, names: list[tuple[bytes, ...]]) -> list[list[int]]:
+        """For each notice and place in it the end of the last name that begins before the place, which a gap there must not touch."""
+        known = {n: len(n) for n in names}
+        sizes = sorted({len(n) for n in names}, reverse=True)
+        out = []
+        for s in self.split:
+            ends, end = [0], 0
+            for i in range(len(s)):
+                end = max(end, i + next((n for n in sizes if s[i : i + n] in known), 0)) if i >= end else end
+                ends.append(end if end > i else ends[-1])
+            out.append(ends)
+        return out
 
     def statistics(self, words: list[bytes]) -> list[tuple[int, int, int]]:
         """(end, state, length) of the longest known run ending at each word that is part of one."""
@@ -122,34 +158,42 @@ class Scanner:
             for k, n in sam.ends[state if sam.size[state] <= length else sam.link[state]]
             if k < self.n_phrases
         ]
-        maximal = [
-            (end, state, length)
-            for j, (end, state, length) in enumerate(stats)
-            if length >= MIN_RUN and not (j + 1 < len(stats) and stats[j + 1][0] == end + 1 and stats[j + 1][2] == length + 1)
-        ]
-        return len(words), base, self._chains(maximal)
+        return len(words), base, self._chains(self._pieces(words, stats))
 
-    def _chains(self, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """The best chain of each notice around each place, as (notice, start, end, covered share)."""
+    def _pieces(self, words: list[bytes], stats: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
+        """For each notice the runs that it holds and cannot make longer, as (start, place, length)."""
+        sam, split = self.automaton, self.split
         by_notice: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for end, state, length in runs:
-            for k, at in self.places[state]:
-                # An occurrence can be shorter than the state's longest words, never than the run.
-                if at >= length:
-                    by_notice[k].append((end - length, at - length, length))
+        for end, state, length in stats:
+            after = words[end] if end < len(words) else None
+            seen: set[tuple[int, int]] = set()
+            while state and length >= MIN_RUN:
+                for k, at in self.places[state]:
+                    # An occurrence can be shorter than the state's longest words, never than the run.
+                    if at >= length and (k, at) not in seen:
+                        seen.add((k, at))
+                        if at == len(split[k]) or split[k][at] != after:
+                            by_notice[k].append((end - length, at - length, length))
+                state = sam.link[state]
+                length = min(length, sam.size[state])
+        return by_notice
+
+    def _chains(self, by_notice: dict[int, list[tuple[int, int, int]]]) -> list[tuple[int, int, int, float]]:
+        """The best chain of each notice around each place, as (notice, start, end, covered share)."""
         spans = []
         for k, pieces in by_notice.items():
             pieces.sort()
+            behind = self.behind[k]
             best: list[tuple[int, int]] = []  # words covered and first word, of the best chain that ends with each piece
+            ending: dict[int, list[int]] = defaultdict(list)
             for j, (start, at, length) in enumerate(pieces):
                 covered, first = length, start
-                for i in range(j - 1, -1, -1):
-                    s, a, n = pieces[i]
-                    if start - s > self.lengths[k] + MAX_GAP:
-                        break
-                    if s + n <= start <= s + n + MAX_GAP and a + n <= at and best[i][0] + length > covered:
-                        covered, first = best[i][0] + length, best[i][1]
+                for stop in range(start - MAX_GAP, start + 1):
+                    for i in ending.get(stop, ()):
+                        if behind[at] <= pieces[i][1] + pieces[i][2] <= at and best[i][0] + length > covered:
+                            covered, first = best[i][0] + length, best[i][1]
                 best.append((covered, first))
+                ending[start + length].append(j)
             spans += [(k, first, start + length, covered / self.lengths[k]) for (start, _, length), (covered, first) in zip(pieces, best, strict=True)]
         return spans
 

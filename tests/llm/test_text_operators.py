@@ -179,6 +179,27 @@ def test_licenses(docs, texts, spark):
     assert r["labels"] == ["mit"] and r["base_labels"] == [] and r["spans"][0]["first"] == 0 and r["spans"][0]["share"] == 1.0
 
 
+def test_whole_licenses_and_names():
+    """Bodies give their label, longer matches of one notice hide nothing of another, and names are not bridged."""
+    scanner = license_scan.Scanner()
+
+    def labels(text):
+        return license_scan.describe(scanner, text)[5]
+
+    for name, label in license_scan.TEXTS.items():
+        text = dict(zip(license_scan.TEXTS, license_scan.NOTICES[-len(license_scan.TEXTS) :], strict=True))[name][1]
+        assert label in labels(text)
+        middle = license_scan.words_of(text)
+        assert label in labels(b" ".join([*middle[:100], b"zzz", *middle[100:]]).decode())
+    agpl = "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"
+    assert labels(agpl) == ["agpl"]
+    assert labels(agpl.replace("Affero ", "")) == ["gpl"] and labels(agpl.replace("Affero", "Lesser")) == ["lgpl"]
+    assert labels("Licensed under CC BY-NC-SA 4.0") == ["cc-by", "cc-by-nc-sa"] and labels("Licensed under CC BY-SA 4.0") == ["cc-by", "cc-by-sa"]
+    # The first notice holds the longer run at every word; the second still gets the part that it holds.
+    two = license_scan.Scanner({}, [("a", "p q r s t u v"), ("b", "x r s t y")])
+    assert sorted(two.scan("p q r s t u v")[2]) == [(0, 0, 7, 1.0), (1, 2, 5, 0.6)]
+
+
 def test_repeated_bytes(docs, texts, spark):
     got = {r["doc_id"]: r for r in suffix_dedup.removed(docs, shard=500).withColumn("h", F.sha2("kept", 256)).collect()}
     want = brute.repeated_bytes(list(enumerate(texts)))
