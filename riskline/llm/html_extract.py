@@ -53,11 +53,14 @@ ENDS = {
     "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead"}, {"table"}),
 } | {h: (HEADINGS, BLOCKS - HEADINGS) for h in HEADINGS}
 
-#: Longer or broken attributes end at the next ">", so that no tag is scanned for long.
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?>[^>\"']{1,2000}|\"[^\"]{0,2000}\"|'[^']{0,2000}'){0,200})>|</?([a-zA-Z][^\s/>]*)([^>]*)>", re.S
-)
-ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
+#: Where a token begins, with a tag's name; comments and such are whole.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)", re.S)
+#: Tokens that the end of the page closes.
+UNCLOSED = re.compile(r"<!--.*|<!\[CDATA\[.*", re.S)
+#: Inside a tag: its end, or the start of a quoted value, or a whole plain value.
+STOP = re.compile(r">|=\s*(?:([\"'])|[^\s>]*)")
+ATTRIBUTE = re.compile(r"([^\s=/>]++)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+NAMED = {"class", "id", "role", "itemprop", "aria-label"}
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
@@ -111,19 +114,45 @@ def element(tag: str, attributes: str) -> tuple[list[int], int]:
     group = GROUP_OF.get(tag, "div")
     found = [INDEX[f"tag {group}"]]
     hints: set[str] = set()
-    for _, value in ATTRIBUTE.findall(attributes):
-        hints.update(HINT_OF[w.lower()] for w in PART.findall(value) if w.lower() in HINT_OF)
+    pairs = [(name.lower(), value) for name, value in ATTRIBUTE.findall(attributes)]
+    for name, value in pairs:
+        if name in NAMED:
+            hints.update(HINT_OF[w.lower()] for w in PART.findall(value) if w.lower() in HINT_OF)
     found += [INDEX[f"hint {h}"] for h in sorted(hints)]
-    concealed = bool(attributes) and HIDDEN.search(attributes) is not None
+    # Markup or data in other values says nothing about the element.
+    said = " ".join(f"{name}={value}" for name, value in pairs if name in NAMED or name in ("hidden", "style", "aria-hidden"))
+    concealed = HIDDEN.search(said) is not None
     if concealed:
         found.append(INDEX["hidden"])
     away = group in AWAY or concealed or bool(hints - {"content", "share"})
     made = found, ASIDE if away else CENTRE if group == "article" or "content" in hints else PLAIN
-    if len(_SEEN) < 10_000:
+    if len(_SEEN) < 10_000 and len(attributes) < 1_000:
         _SEEN[key] = made
     return made
 
 
+def tag_end(source: str, at: int, dead: set[int]) -> int:
+    """The place of the ">" that ends a tag whose name ends at ``at``: the first outside quoted values, of any length.
+
+    Where a quote never closes it is the next ">".  ``dead`` keeps the quotes from which no end was found,
+    so that none is followed twice and a page takes linear time.
+    """
+    begun, i = [], at
+    while (m := STOP.search(source, i)) is not None:
+        if m[0] == ">":
+            return m.start()
+        i = m.end()
+        if m[1]:
+            if i in dead:
+                break
+            begun.append(i)
+            i = source.find(m[1], i) + 1
+            if not i:
+                break
+    dead.update(begun)
+    return source.find(">", at)
+
+
 def parse(source: str) -> Page:
     """The block elements and blocks of a page."""
     page = Page()
@@ -169,9 +198,12 @@ def parse(source: str) -> Page:
     push("html", "")
     skip = ""
     depth = 0
-    size = len(source)
+    size, final = len(source), source.rfind(">")
+    dead: set[int] = set()
     while at < size:
-        m = TOKEN.search(source, at) if source.find(">", at) >= 0 else None
+        m = TOKEN.search(source, at) if final >= at else None
+        if m and m[1] and m.end() > final:
+            m = UNCLOSED.search(source, m.start())
         if not skip and (m is None or m.start() > at):
             piece = source[at : m.start() if m else size]
             run.append(piece)
@@ -180,11 +212,12 @@ def parse(source: str) -> Page:
         if m is None:
             break
         at = m.end()
-        tag = (m[1] or m[3] or "").lower()
+        tag = (m[1] if m.re is TOKEN and m[1] else "").lower()
         if not tag:
             continue
         ending = source[m.start() + 1] == "/"
-        attributes = m[2] or m[4] or ""
+        stop = tag_end(source, at, dead)
+        attributes, at = source[at:stop], stop + 1
         if skip:
             # Inside a skipped element only its own tags count; the body ends an open head.
             if tag == skip:

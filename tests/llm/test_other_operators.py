@@ -41,6 +41,22 @@ def test_pages(model):
         assert html_extract.extract(source, model) == text
 
 
+def test_long_attributes(model):
+    """Quoted values of any length and number belong to their tag, and what they hold is no markup."""
+    value = "x" * 2500 + "<b>bold</b> more <div class='content'>"
+    many = " ".join(f'data-a{i}="{i} > 0"' for i in range(120))
+    for attributes in (f'data-x="{value}"', many, f'srcdoc="{value}" {many}'):
+        page = html_extract.parse(f'<body><div {attributes} class="sidebar">text</div><p>after</p></body>')
+        assert [t for _, t in page.blocks] == ["text", "after"]
+        side = html_extract.INDEX["hint side"]
+        assert side in page.features[page.blocks[0][0]] and html_extract.INDEX["hint content"] not in page.features[page.blocks[0][0]]
+    # A quote that never closes ends with the tag; one that begins no value is none; neither takes more than linear time.
+    assert [t for _, t in html_extract.parse('<p class="a>one</p><p don\'t>two</p>').blocks] == ["one", "two"]
+    page = html_extract.parse('<p a=">" ' * 100_000 + '<p b="')
+    assert len(page.names) == 100_001
+    assert [t for _, t in html_extract.parse("<p>a</p> b <" + "i<i" * 100_000).blocks][0] == "a"
+
+
 def test_held_out_layouts(model):
     right = total = 0
     for page, labels in html_extract.layouts(40, seed=99):
