@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskline.llm import ann, bpe, edit_tokens, html_extract, license_scan, line_dedup, quality_rules, simhash, source_mixing, suffix_dedup
+from riskline.llm import ann, bpe, edit_tokens, html_extract, license_scan, line_dedup, quality_rules, simhash, source_mixing, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,6 +122,34 @@ FROM d JOIN raw r USING (rid) LEFT JOIN worded w ON w.rid = r.rid AND w.p = r.p
 GROUP BY d.rid, d.doc_id
 """
 
+#: Rules of the query, and the words in host names that its block list is made of (fixed values).
+URL_RULES = (
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
+)
+URL_WORDS = ("ads", "adult", "bets", "betting", "casino", "gambling", "malware", "phishing", "pills", "poker", "porn", "sex", "spam", "viagra", "warez", "xxx")
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [url_filter.Rule(*r) for r in URL_RULES]
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules, words=URL_WORDS).drop("url")
+
+
+OP13_SQL = rf"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN regexp_matches(host, '(^|[.])([^.]*-)?({'|'.join(URL_WORDS)})(-[^.]*)?([.][^.]*){{0,4}}$') THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_source_mixing": op2_source_mixing,
@@ -133,8 +161,10 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op13_url_filter": op13_url_filter,
 }
 SQL = {
     "op8_quality_rules": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op13_url_filter": OP13_SQL,
 }
