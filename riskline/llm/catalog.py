@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskline.llm import ann, bpe, edit_tokens, html_extract, license_scan, line_dedup, quality_rules, simhash, source_mixing, suffix_dedup, url_filter
+from riskline.llm import ann, bpe, edit_tokens, html_extract, license_scan, line_dedup, merkle, quality_rules, simhash, source_mixing, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,6 +122,58 @@ FROM d JOIN raw r USING (rid) LEFT JOIN worded w ON w.rid = r.rid AND w.p = r.p
 GROUP BY d.rid, d.doc_id
 """
 
+MANIFEST = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    small = F.translate("text", url_filter.UPPER, url_filter.LOWER)
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    rows = docs.select(
+        "doc_id", "lang", merkle.leaf(*[F.col(c) for c in MANIFEST]).alias("leaf"),
+        F.when(hit, merkle.leaf(*[F.col(c) for c in MANIFEST[:-1]], small)).alias("tampered"),
+    )
+    made = merkle.manifest(rows, "lang", "doc_id", "leaf")
+    held = made.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("witness")), 256).alias("proof_sha256"),
+        merkle.folded(F.coalesce("tampered", "leaf"), F.col("witness")).alias("folded_root"),
+    )
+    return held.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS t),
+f AS (SELECT row_number() OVER () AS rid, doc_id, lang, text, CAST(doc_id AS VARCHAR) AS id,
+    concat_ws('', coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+      coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-')) AS head
+  FROM documents),
+h AS (SELECT *, octet_length(encode(text)) || ':' AS size,
+    xor(4294967295, list_reduce(list_transform(string_split(id, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+      lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8), CAST(4294967295 AS BIGINT))) AS crc FROM f, tab),
+d AS (SELECT rid, doc_id, lang, sha256(head || coalesce(size || text, '-')) AS leaf,
+    CASE WHEN crc % 3 = 0 THEN sha256(head || coalesce(size || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS tampered
+  FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d),
+t AS (SELECT lang, 0 AS lvl, i, n, leaf AS digest FROM o
+  UNION ALL SELECT lang, lvl + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lang, lvl, i // 8, n),
+sub AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, i, n, subroot AS digest FROM sub
+  UNION ALL SELECT lvl + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lvl, i // 8, n),
+ts AS (SELECT *, coalesce(string_agg(digest, '') OVER (PARTITION BY lang, lvl, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY lang, lvl, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM t WHERE n > 1),
+us AS (SELECT *, coalesce(string_agg(digest, '') OVER (PARTITION BY lvl, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY lvl, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM u WHERE n > 1),
+low AS (SELECT o.rid, list(ts.l || ',' || ts.r ORDER BY ts.lvl) AS w FROM o JOIN ts ON ts.lang IS NOT DISTINCT FROM o.lang AND ts.i = o.i // CAST(pow(8, ts.lvl) AS BIGINT) GROUP BY o.rid),
+high AS (SELECT sub.lang, list(us.l || ',' || us.r ORDER BY us.lvl) AS w FROM sub JOIN us ON us.i = sub.i // CAST(pow(8, us.lvl) AS BIGINT) GROUP BY sub.lang),
+x AS (SELECT o.*, sub.subroot, (SELECT digest FROM u WHERE n = 1) AS root, list_concat(coalesce(low.w, []), coalesce(high.w, [])) AS w
+  FROM o JOIN sub ON sub.lang IS NOT DISTINCT FROM o.lang LEFT JOIN low USING (rid) LEFT JOIN high ON high.lang IS NOT DISTINCT FROM o.lang),
+y AS (SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(w, ''), ',', '')) AS proof_sha256,
+    list_reduce(w, lambda a, s: sha256(split_part(s, ',', 1) || a || split_part(s, ',', 2)), coalesce(tampered, leaf)) AS folded_root FROM x)
+SELECT *, folded_root = root AS verified FROM y
+"""
+
+
 #: Rules of the query, and the words in host names that its block list is made of (fixed values).
 URL_RULES = (
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
@@ -161,10 +213,12 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_url_filter": op13_url_filter,
 }
 SQL = {
     "op8_quality_rules": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
     "op13_url_filter": OP13_SQL,
 }
