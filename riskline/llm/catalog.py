@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskline.llm import ann, bpe, edit_tokens, html_extract, license_scan, line_dedup, merkle, quality_rules, simhash, source_mixing, suffix_dedup, url_filter
+from riskline.llm import ann, bpe, edit_tokens, html_extract, license_scan, line_dedup, merkle, quality_rules, simhash, source_mixing, spelling, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -174,6 +174,33 @@ SELECT *, folded_root = root AS verified FROM y
 """
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS t),
+d AS (SELECT row_number() OVER () AS rid, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+r AS (SELECT rid, coalesce(CAST(doc_id AS VARCHAR), '') AS id, run, count(*) AS n
+  FROM (SELECT rid, doc_id, unnest(regexp_extract_all(text, '[a-zÀ-ÿ]+')) AS run FROM d) WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(id || ':' || run)), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+    lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8), CAST(4294967295 AS BIGINT))) AS h FROM r, tab),
+v AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS (SELECT word, length(word) AS len, p, substr(word, 1, p - 1) || substr(word, p + 1) AS short FROM w, unnest(range(1, length(word) + 1)) AS u(p)),
+near AS (SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.p = b.p AND a.short = b.short AND a.len = b.len AND a.word <> b.word
+  UNION SELECT less.word, w.word FROM less JOIN w ON less.short = w.word
+  UNION SELECT w.word, less.word FROM less JOIN w ON less.short = w.word),
+best AS (SELECT a, count(*) AS n_near, list(struct_pack(m := -w.n, b := b) ORDER BY -w.n, encode(b))[1] AS top FROM near JOIN w ON w.word = b GROUP BY a),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.m >= 5 * w.n THEN top.b END AS form, CASE WHEN -top.m >= 5 * w.n THEN -top.m END AS form_n
+  FROM w LEFT JOIN best ON best.a = w.word),
+chain AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NOT NULL),
+ends AS (SELECT chain.word, chain.at AS root FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM f LEFT JOIN ends USING (word)
+"""
+
+
 #: Rules of the query, and the words in host names that its block list is made of (fixed values).
 URL_RULES = (
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
@@ -214,11 +241,13 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_url_filter": op13_url_filter,
 }
 SQL = {
     "op8_quality_rules": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
     "op13_url_filter": OP13_SQL,
 }
