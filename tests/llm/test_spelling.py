@@ -54,14 +54,27 @@ def test_near():
         assert spelling.near(a, b) == (a != b and distance_is_one(a, b))
 
 
+def test_near_rows():
+    """As arrays, with words on both sides of the width up to which they are."""
+    rng = random.Random(6)
+    found = ["".join(rng.choice("abÿ") for _ in range(rng.randrange(7))) for _ in range(150)]
+    found += ["x" * k + rng.choice("ab") + "y" * (spelling.WIDE + d - k) for k in (0, 3, spelling.WIDE - 3) for d in (-2, -1, 0, 1) for _ in range(3)]
+    q, w = (g.ravel() for g in np.meshgrid(np.arange(len(found)), np.arange(len(found))))
+    got = spelling.near_rows(spelling.Letters(found), spelling.Letters(found[:]), q, w)
+    assert got.tolist() == [spelling.near(found[i], found[j]) for i, j in zip(q, w, strict=True)]
+
+
 def test_trie_finds_all():
-    """A block of a cell, by one search for each way into it."""
+    """A block of a cell: every pair is met, from one side or from both, and counts for both once."""
     rng = random.Random(3)
     found = sorted({"".join(rng.choice("eatlzÀÿ×") for _ in range(rng.randrange(1, 8))) for _ in range(3000)})
     n = {w: rng.randrange(1, 9) for w in found}
     kept = pa.table({"word": found, "n": [n[w] for w in found]})
-    sought = pa.table({"asked": found, "more": [1] * len(found), "less": [1] * len(found)})
-    got = {r["word"]: (r["n_near"], r["best_n"], r["best"]) for r in spelling.near_words(kept, sought, 0).to_pylist()}
+    sought = pa.table({"asked": found, "n": [n[w] for w in found], "more": [1] * len(found), "less": [1] * len(found)})
+    got = {}
+    for r in spelling.near_words(kept, sought, 0).to_pylist():
+        old = got.get(r["word"], (0, 0, ""))
+        got[r["word"]] = (old[0] + r["n_near"], *min((old[1:], (r["best_n"], r["best"])), key=lambda x: (-x[0], x[1])))
     want = {}
     for w in found:
         around = [v for v in found if abs(len(v) - len(w)) < 2 and v != w and distance_is_one(w, v)]
@@ -76,9 +89,10 @@ def test_ways():
     """Every reachable cell is entered once."""
     for depth in (1, 3, 5):
         steps = spelling._steps(depth)
-        assert len({s for s, _, _ in steps}) == len(steps) == 1 + 2 * depth + depth * (depth - 1)
+        assert len({s for s, _, _ in steps}) == len(steps) == 1 + depth + depth * (depth - 1) // 2
         for s, more, less in steps:
             assert more == 1 - sum(x for x in s if x > 0) and less == 1 + sum(x for x in s if x < 0)
+            assert -1 not in s or s.index(1) < s.index(-1)
 
 
 @pytest.mark.parametrize("cell, full", [(spelling.CELL, spelling.FULL), (40, 20)])
@@ -114,5 +128,5 @@ def test_registered_query(spark):
 
 
 def test_depth_follows_the_number_of_words():
-    assert [spelling._depth(n) for n in (0, 1, 5_000, 10**6, 10**12)] == [1, 1, 2, 8, 14]
+    assert [spelling._depth(n) for n in (0, 1, 400_000, 10**6, 10**12)] == [1, 1, 2, 3, 14]
     assert np.array_equal(spelling.vectors(["eel", "ÿ"])[:, [0, 8, 14]], [[2, 1, 0], [0, 0, 1]])
