@@ -21,6 +21,7 @@ from riskline.functions import sequence as seq
 from riskline.operators import cohort as co
 from riskline.operators import events as ev
 from riskline.operators import glm, panel as pn, protocol as pr, quantiles, report, sampling, summary, survival, weights
+from riskline.operators.bootstrap import Design
 from riskline.operators.lineage import fresh_path, written
 from riskline.plans import study as st
 from riskline.sources import derived, files
@@ -739,7 +740,7 @@ def logit_fit(spark, sf):
 
 @query("ip_weights", "bene_id:s int:i wt_exposure:x wt_screen:x wt_drop:x wt_final:x wt_final_exposure:x")
 def ip_weights(spark, sf):
-    return st.replicate_weights(rows(spark, sf))
+    return st.interval_weights(rows(spark, sf))
 
 
 _GIVEN_SQL = {
@@ -846,8 +847,8 @@ _BOOT_SPEC = "rep:i time:x " + " ".join(f"{m}:x" for m in _MEASURES)
 
 def boot_curves(spark, sf):
     """Aligned curves of the crude bootstrap: multiplicities as weights."""
-    copies = sampling.with_poisson_counts(rows(spark, sf), REPS)
-    curve = survival.cumulative_incidence(copies, ["rep", "exposed"], weight=F.col("mult"))
+    table, counts = sampling.with_draws(rows(spark, sf), REPS)
+    curve = st.replicate_curves(written(table, "draws"), counts, Design("count", survival.CAUSES))
     return survival.contrast(survival.align_curves(curve, ["rep"]))
 
 
@@ -1011,7 +1012,7 @@ _POINT_SPEC = "time:w " + " ".join(f"{m}:w" for m in _MEASURES)
 
 @query("ip_weights_saturated", "bene_id:s int:i wt_exposure:w wt_screen:w wt_drop:w wt_final:w wt_final_exposure:w", "sat", more=_SAT)
 def ip_weights_saturated(spark, sf):
-    return st.replicate_weights(rows(spark, sf), given=_one_each(spark, sf))
+    return st.interval_weights(rows(spark, sf), given=_one_each(spark, sf))
 
 
 @query("exposure_weighted_saturated", _POINT_SPEC, "contrasted", more=_SAT_EXPOSURE)
@@ -1069,17 +1070,17 @@ _SCORES = {
     ) + ")",
 )
 def score_equations(spark, sf):
-    """Per model and group: rows, events, and the largest score of any term at the fit, in hundredths of a residual per row."""
-    df = rows(spark, sf).select(*st.MODEL_COLUMNS).withColumns({"rep": F.lit(0), "mult": F.lit(1)})
-    table = weights.model_cells(df, "age_start", F.col("int") == 1)
-    models, coefs = weights.fit_weight_models(table)
-    scored, out = written(table.join(coefs, ["rep", "exposed"]), "scored"), None
-    for m in models:
+    """Per model and group: rows, events, and the largest score of any term at the fit, in millionths of a residual per row."""
+    table = written(weights.model_rows(rows(spark, sf).select(*st.MODEL_COLUMNS), F.col("int") == 1), "score-rows")
+    models, beta = weights.fit_weight_models(table)
+    coefs = weights.coefficients(spark, models, beta)
+    scored, out = written(table.join(coefs, "exposed"), "scored"), None
+    for m in (m for m in models if m.name in _SCORES):
         group = F.col("exposed") if "exposed" in m.by else F.lit(None).cast("int")
         gap = (F.col(m.outcome) - glm.fitted(m.terms, F.col(f"beta_{m.name}"))) * F.col(m.freq)
         sums = [F.abs(F.sum(x * gap)) for x in (F.lit(1.0), *glm.term_columns(m.terms))]
         one = scored.where(F.col(m.freq) > 0).groupBy(group.alias("exposed")).agg(
-            F.sum(m.freq).alias("n"), F.sum(F.col(m.outcome) * F.col(m.freq)).alias("events"), F.floor(F.greatest(*sums) * 100 / F.sum(m.freq)).alias("worst")
+            F.sum(m.freq).alias("n"), F.sum(F.col(m.outcome) * F.col(m.freq)).alias("events"), F.floor(F.greatest(*sums) * 1e6 / F.sum(m.freq)).alias("worst")
         ).withColumn("model", F.lit(m.name))
         out = one if out is None else out.unionByName(one)
     return out

@@ -1,10 +1,11 @@
-"""Binomial-logit models for many groups at once by iteratively reweighted least squares.
+"""Binomial-logit models for many groups and replicates at once by iteratively reweighted least squares.
 
-All models and groups advance together, one Spark job per iteration: every task
-adds up the cross products of its rows per model and group, the sums meet in two
-grouped steps, and the last one solves for the next coefficients.  A group of any
-share of the rows is thus spread over all tasks, and only coefficient vectors
-(groups x terms) reach the driver.
+All models, groups and replicates advance together, one Spark job per iteration.  A task
+builds the design of its rows once and adds up the cross products for all replicates in
+one matrix product, with a column of weights for each: rows are never copied per replicate.
+The sums meet in a tree, and its last step solves for the next coefficients.  A group
+of any share of the rows is thus spread over all tasks, and only coefficients
+(groups x replicates x terms) reach the driver.
 
 A row with a NULL in a model's outcome or terms takes no part in the fit of that
 model and gets a NULL probability; a level that a category does not list is an error
@@ -20,12 +21,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Partial sums of a model and group meet in this many parts before the last step.
-PARTS = 32
+from riskline.operators import replicates
+from riskline.operators.replicates import Counts, Once, chunks
+
+# So many partial sums of a model and group meet in one step of the tree.
+FAN = 32
 # A category column with more levels is refused.
 MAX_LEVELS = 1_000
 
@@ -105,14 +110,18 @@ def fitted(terms: Sequence[Term], beta: Column) -> Column:
 
 
 def levels(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
-    """Sorted distinct levels of each category column, NULL left out."""
-    out = {}
-    for c in columns:
-        found = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()]
-        if len(found) > MAX_LEVELS:
-            raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
-        out[c] = tuple(sorted(found))
-    return out
+    """Sorted distinct levels of each category column, NULL left out; two passes whatever the number of columns."""
+    columns = list(dict.fromkeys(columns))
+    if not columns:
+        return {}
+    about = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    wide = [c for c in columns if about[c] > 1.2 * MAX_LEVELS]
+    if not wide:
+        found = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns]).first()
+        wide = [c for c in columns if len(found[c]) > MAX_LEVELS]
+    if wide:
+        raise ValueError(f"{', '.join(wide)}: more than {MAX_LEVELS} levels")
+    return {c: tuple(found[c]) for c in columns}
 
 
 def cells(df: DataFrame, columns: Sequence[str], freqs: dict[str, Column]) -> DataFrame:
@@ -124,12 +133,12 @@ def _code(column: str) -> str:
     return f"{column}__code"
 
 
-def coded(df: DataFrame, models: Sequence[Logit]) -> DataFrame:
-    """The columns the models read, categories as positions in their level list.
+def coded(df: DataFrame, models: Sequence[Logit], keep: Sequence[str] = ()) -> DataFrame:
+    """The columns the models read and those of ``keep``, categories as positions in their level list.
 
     Only numbers then travel to the tasks that add up cross products.
     """
-    plain = {c for m in models for c in (m.outcome, m.freq, *m.by)}
+    plain = {*keep, *(c for m in models for c in (m.outcome, m.freq, *m.by) if c in df.columns)}
     codes = {}
     for t in (t for m in models for t in m.terms):
         if isinstance(t, Category):
@@ -160,104 +169,141 @@ def _design(pdf: pd.DataFrame, terms: Sequence[Term], blocks: dict | None = None
 
 
 def _cross_products(x: np.ndarray, y: np.ndarray, freq: np.ndarray, beta: np.ndarray) -> np.ndarray:
-    """Flat X'WX, X'(W eta + y - mu) and the deviance at ``beta``."""
-    eta = np.clip(x @ beta, -ETA_BOUND, ETA_BOUND)
+    """A column for each replicate: the upper triangle of X'WX, X'(W eta + y - mu) and the deviance at its row of ``beta``.
+
+    ``freq`` is rows x replicates.
+    """
+    eta = np.clip(x @ beta.T, -ETA_BOUND, ETA_BOUND)
     mu = 1.0 / (1.0 + np.exp(-eta))
     w = freq * mu * (1.0 - mu)
-    deviance = 2.0 * np.sum(freq * np.logaddexp(0.0, np.where(y == 1, -eta, eta)))
-    return np.concatenate([(x.T @ (x * w[:, None])).ravel(), x.T @ (w * eta + freq * (y - mu)), [deviance]])
+    deviance = 2.0 * np.sum(freq * np.logaddexp(0.0, np.where(y[:, None] == 1, -eta, eta)), axis=0)
+    i, j = np.triu_indices(x.shape[1])
+    return np.vstack([(x[:, i] * x[:, j]).T @ w, x.T @ (w * eta + freq * (y[:, None] - mu)), deviance])
+
+
+def _newton_steps(total: np.ndarray, p: int) -> np.ndarray:
+    """Next coefficients, a row for each column of summed cross products; a rank-deficient system gets its shortest solution."""
+    i, j = np.triu_indices(p)
+    out = np.empty((total.shape[1], p))
+    for r, column in enumerate(total.T):
+        left = np.empty((p, p))
+        left[i, j] = left[j, i] = column[: len(i)]
+        out[r] = np.linalg.lstsq(left, column[len(i) : len(i) + p], rcond=1e-12)[0]
+    return out
 
 
-def _newton_step(total: np.ndarray, p: int) -> np.ndarray:
-    """Next coefficients from summed cross products; a rank-deficient system gets its shortest solution."""
-    left, right = total[: p * p].reshape(p, p), total[p * p : p * p + p]
-    return np.linalg.lstsq(left, right, rcond=1e-12)[0]
+class _Fit:
+    """Where the replicates of one model and group stand."""
 
+    def __init__(self, size: int, p: int):
+        self.beta, self.last = np.zeros((size, p)), np.zeros((size, p))
+        self.deviance, self.open = np.full(size, np.nan), np.ones(size, bool)
 
-def _converged(now: float, last: float | None, tol: float) -> bool:
-    return last is not None and abs(now - last) / (abs(now) + 0.1) < tol
+    def advance(self, step: np.ndarray, deviance: np.ndarray, tol: float) -> None:
+        """Takes the steps of the open replicates; one that raised the deviance is halved, a settled one is the last."""
+        at = np.flatnonzero(self.open)
+        change = deviance - self.deviance[at]
+        settled = np.abs(change) / (np.abs(deviance) + 0.1) < tol
+        worse = (change > 0) & ~settled
+        back = at[worse]
+        self.beta[back] = (self.beta[back] + self.last[back]) / 2
+        on = at[~worse]
+        self.last[on], self.deviance[on], self.beta[on] = self.beta[on], deviance[~worse], step[~worse]
+        self.open[at[settled]] = False
 
 
-def fit_logits(data: DataFrame, models: Sequence[Logit], max_iter: int = 40, tol: float = 1e-9) -> dict[tuple, np.ndarray]:
+def fit_logits(
+    data: DataFrame, models: Sequence[Logit], max_iter: int = 40, tol: float = 1e-9, counts: Counts | None = None
+) -> dict[tuple, np.ndarray]:
     """Coefficients of every model in every group, keyed ``(name, *group)``.
 
-    ``data`` should be a written table, as every iteration reads it.  A step that
-    raises the deviance is halved.  Groups that have not settled after
-    ``max_iter`` iterations are named in a warning.
+    ``data`` should be a written table, as every iteration reads it.  With ``counts`` all its
+    replicates are fitted, a row of coefficients each; a model's frequency is then
+    multiplied by the multiplicities.  A step that raises the deviance is halved.  Groups
+    that have not settled after ``max_iter`` iterations are named in a warning.
     """
     # The small helpers travel with the tasks, so executors need no copy of this package.
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    data = coded(data, models)
+    ship()
+    drawn = counts or Once()
+    data = coded(data, models, drawn.columns)
     spec = {m.name: m for m in models}
     context = data.sparkSession.sparkContext
-    beta: dict[tuple, np.ndarray] = {}
-    before: dict[tuple, tuple[np.ndarray, float]] = {}
-    done: set[tuple] = set()
-    finest = sorted({c for m in models for c in m.by})
-    kind = "model string, key array<int>, part int, v array<double>"
+    fits: dict[tuple, _Fit] = {}
+    finest = sorted({c for m in models for c in m.by if c in data.columns})
+    places = {m.name: [finest.index(c) for c in m.by if c in finest] for m in models}
+    kind = "model string, key array<int>, part int, v binary"
+    tasks = data.rdd.getNumPartitions()
 
     for _ in range(max_iter):
-        state = context.broadcast((beta, done))
+        state = context.broadcast({k: (f.beta[f.open], np.flatnonzero(f.open)) for k, f in fits.items()})
 
-        def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            current, finished = state.value
-            part_of = TaskContext.get().partitionId() % PARTS
+        def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            current = state.value
             sums: dict[tuple, np.ndarray] = {}
-            for batch in batches:
-                for group, part in batch.groupby(finest, sort=False):
-                    at, blocks = dict(zip(finest, map(int, group))), {}
+            for rows in chunks(batches, drawn.size):
+                mult = drawn.matrix(rows)
+                for group, part in rows.groupby(finest, sort=False) if finest else [((), rows)]:
+                    blocks: dict = {}
+                    times = mult[part.index]
                     for m in spec.values():
-                        key = (m.name, *[at[c] for c in m.by])
-                        freq = part[m.freq].to_numpy(float)
-                        if key in finished or not freq.any():
+                        key = (m.name, *[int(group[i]) for i in places[m.name]])
+                        beta, open_ = current.get(key) or (np.zeros((drawn.size, m.size)), np.arange(drawn.size))
+                        own = part[m.freq].to_numpy(float)
+                        if not len(open_) or not own.any():
                             continue
                         x, y = _design(part, m.terms, blocks), part[m.outcome].to_numpy(float)
-                        whole = ~(np.isnan(y) | np.isnan(x).any(axis=1))
-                        now = _cross_products(x[whole], y[whole], freq[whole], current.get(key, np.zeros(m.size)))
+                        whole = ~(np.isnan(y) | np.isnan(x).any(axis=1)) & (own != 0)
+                        now = _cross_products(x[whole], y[whole], own[whole, None] * times[whole][:, open_], beta)
                         sums[key] = sums[key] + now if key in sums else now
             if sums:
-                yield pd.DataFrame(
-                    {
-                        "model": [k[0] for k in sums],
-                        "key": [list(k[1:]) for k in sums],
-                        "part": part_of,
-                        "v": [v.tolist() for v in sums.values()],
-                    }
-                )
-
-        def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            total = np.sum(np.stack(pdf["v"].to_numpy()), axis=0)
-            return pd.DataFrame({"model": [key[0]], "key": [list(key[1])], "part": [key[2]], "v": [total.tolist()]})
-
-        def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            total = np.sum(np.stack(pdf["v"].to_numpy()), axis=0)
-            step = _newton_step(total, spec[key[0]].size)
-            return pd.DataFrame({"model": [key[0]], "key": [list(key[1])], "beta": [step.tolist()], "dev": [total[-1]]})
-
-        steps = (
-            data.mapInPandas(partials, kind)
-            .groupBy("model", "key", "part")
-            .applyInPandas(add, kind)
-            .groupBy("model", "key")
-            .applyInPandas(solve, "model string, key array<int>, beta array<double>, dev double")
-            .collect()
-        )
-        for row in steps:
-            key = (row["model"], *row["key"])
-            at, (last, deviance) = beta.get(key), before.get(key, (None, None))
-            if _converged(row["dev"], deviance, tol):
-                done.add(key)
-            elif deviance is not None and row["dev"] > deviance:
-                beta[key] = (at + last) / 2
-                continue
-            before[key] = (np.zeros(spec[key[0]].size) if at is None else at, row["dev"])
-            beta[key] = np.array(row["beta"])
+                yield _sums([(k[0], list(k[1:]), TaskContext.get().partitionId(), v.tobytes()) for k, v in sums.items()])
+
+        def add(table: pa.Table) -> pa.Table:
+            row = table.slice(0, 1).to_pylist()[0]
+            return pa.Table.from_batches([_sums([(row["model"], row["key"], row["part"], _added(table).tobytes())])])
+
+        def solve(table: pa.Table) -> pa.Table:
+            row = table.slice(0, 1).to_pylist()[0]
+            p = spec[row["model"]].size
+            total = _added(table).reshape(p * (p + 1) // 2 + p + 1, -1)
+            made = np.column_stack([total[-1], _newton_steps(total, p)])
+            return pa.Table.from_batches([_sums([(row["model"], row["key"], 0, made.tobytes())])])
+
+        steps, left = data.mapInArrow(partials, kind), tasks
+        while left > FAN:
+            steps = steps.withColumn("part", F.expr(f"part div {FAN}").cast("int")).groupBy("model", "key", "part").applyInArrow(add, kind)
+            left = -(-left // FAN)
+        for row in steps.groupBy("model", "key").applyInArrow(solve, kind).select("model", "key", "v").collect():
+            p = spec[row["model"]].size
+            fit = fits.setdefault((row["model"], *row["key"]), _Fit(drawn.size, p))
+            made = np.frombuffer(row["v"]).reshape(-1, p + 1)
+            fit.advance(made[:, 1:], made[:, 0], tol)
         state.unpersist()
-        if len(done) == len(beta):
+        if not any(f.open.any() for f in fits.values()):
             break
-    if open_ := sorted(set(beta) - done):
+    if open_ := sorted(k for k, f in fits.items() if f.open.any()):
         warnings.warn(f"not converged after {max_iter} iterations: {open_}", stacklevel=2)
-    return beta
+    return {k: f.beta if counts else f.beta[0] for k, f in fits.items()}
+
+
+def ship() -> None:
+    """Lets the functions of this module travel with the tasks that use them."""
+    for module in (sys.modules[__name__], replicates):
+        cloudpickle.register_pickle_by_value(module)
+
+
+def _sums(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"model": pa.string(), "key": pa.list_(pa.int32()), "part": pa.int32(), "v": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+
+
+def _added(table: pa.Table) -> np.ndarray:
+    """The sum of the flat arrays in ``v``."""
+    total = None
+    for v in table["v"]:
+        one = np.frombuffer(v.as_py())
+        total = one.copy() if total is None else total + one
+    return total
 
 
 def marginal_prob(df: DataFrame, outcome: str, freq: Column, by: Sequence[str] = ("rep",)) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskline.functions.expressions import hash_uniform
+from riskline.operators.replicates import Counts, Listed, Once, Poisson
 
 
 def _fraction(stratum: Column, fractions: Mapping[int, float]) -> Column:
@@ -139,6 +140,27 @@ def multinomial_counts(ids: DataFrame, reps: int, seed: int = 1, key: str = "ben
     return ids.select(F.lit(0).alias("rep"), key, F.lit(1).alias("mult")).unionByName(drawn)
 
 
+def with_draws(df: DataFrame, reps: int, seed: int = 1, method: str = "poisson", key: str = "bene_id") -> tuple[DataFrame, Counts]:
+    """``df`` with what its tasks need to draw the multiplicities of replicates 0..reps, and the object that draws them.
+
+    Rows stay single.  ``poisson`` adds two hash words, ``multinomial`` joins one row a person
+    that holds all its counts.
+    """
+    if method not in ("poisson", "multinomial"):
+        raise ValueError(f"unknown method {method!r}")
+    if reps == 0:
+        return df, Once()
+    if method == "poisson":
+        drawn = Poisson(tuple((a, c, b) for _, a, c, b in replicate_coefficients(reps, seed)), tuple(poisson_thresholds()), MODULUS)
+        return with_person_words(df, key), drawn
+    counts = multinomial_counts(df.select(key).distinct(), reps, seed, key)
+    per = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("rep", "mult"))).alias("_by"))
+    every = F.transform(
+        F.sequence(F.lit(0), F.lit(reps)), lambda r: F.lpad(F.hex(F.coalesce(F.try_element_at("_by", r), F.lit(0))), 4, "0")
+    )
+    return df.join(per.select(key, F.unhex(F.array_join(every, "")).alias("_drawn")), key), Listed(reps + 1)
+
+
 def replicate_rows(df: DataFrame, key: str = "bene_id") -> DataFrame:
     """Physical copies according to ``mult``, each person copy with its own id ``bid``."""
     copies = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mult"))))

@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskline.functions import calendar as cal
-from riskline.operators.quantiles import quantile, ranked
-
+from riskline.operators.quantiles import group_summary
 
 
 def _count() -> Column:
@@ -69,24 +68,14 @@ def crosstab_chisq(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> Dat
 
 def summary_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Minimum, quartiles, mean and maximum of a column, overall or per group (NULL is a group)."""
-    by = list(by)
-    return ranked(df, by, value).groupBy(*by).agg(
-        F.min(value).alias("min"),
-        *[quantile(value, p).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))],
-        (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"),
-        F.max(value).alias("max"),
-        F.sum("n").alias("n"),
-    )
+    names = {s: s for s in ("min", "mean", "max", "n")}
+    return group_summary(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, names=names)
 
 
 def followup_length(df: DataFrame) -> DataFrame:
     """Total and median follow-up in months, one person per row."""
     lengths = df.select(cal.calendar_div(F.col("baseline"), F.col("end_date"), 1).alias("length"))
-    # Months are few distinct numbers, so they are counted before they are ordered.
-    counts = lengths.groupBy("length").agg(_count())
-    return ranked(counts, [], "length", F.col("n")).agg(
-        F.sum(F.col("length") * F.col("n")).alias("tot_length"), quantile("length", 0.5).alias("med_length")
-    )
+    return group_summary(lengths, [], "length", {"med_length": 0.5}, names={"sum": "tot_length"})
 
 
 def overall_weight_stats(summary: DataFrame) -> DataFrame:

@@ -133,7 +133,12 @@ def cumulative_incidence(
 
     Columns: ``by``, ``time``, ``n_risk``, ``n_<cause>``, ``surv``, ``risk_<cause>``.
     """
-    grid = _curve(risk_sets(df, by, start, stop, event, weight, causes), by, causes)
+    return steps(risk_sets(df, by, start, stop, event, weight, causes), by, causes, origin)
+
+
+def steps(sets: DataFrame, by: Sequence[str], causes: Mapping[str, int] = CAUSES, origin: float | None = 50.0) -> DataFrame:
+    """State probabilities at the event times of risk sets (``time``, ``n_risk``, ``n_<cause>``), which may hold other times too."""
+    grid = _curve(sets, by, causes)
     had_event = sum((F.col(f"n_{c}") for c in causes), F.lit(0)) > 0
     columns = ["time", "n_risk", *[f"n_{c}" for c in causes], "surv", *[f"risk_{c}" for c in causes]]
     return with_origin(grid, by, origin, had_event, columns)

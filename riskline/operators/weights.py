@@ -7,13 +7,14 @@ from dataclasses import replace
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskline.operators.glm import Category, Logit, Numeric, Spline, cells, fit_logits, fitted, levels
-from riskline.operators.lineage import written
-from riskline.operators.quantiles import quantile, ranked
+from riskline.operators.glm import Category, Logit, Numeric, Spline, fit_logits, fitted, levels
+from riskline.operators.quantiles import group_summary
+from riskline.operators.replicates import Counts
 
 # Covariates of the weight models.
 BASELINE_COVARIATES = ("race", "sex", "first_elig_state", "enroll_period")
@@ -57,17 +58,14 @@ def weight_models(
     return [replace(m, terms=tuple(given[m.name])) if given and m.name in given else m for m in models]
 
 
-def model_cells(df: DataFrame, age: str, first: Column, dropout: bool = True) -> DataFrame:
-    """Covariate patterns of the weight models with interval and baseline frequencies.
+def model_rows(df: DataFrame, first: Column, dropout: bool = True) -> DataFrame:
+    """Rows with the outcomes and frequencies of the weight models; ``first`` marks the baseline row of a person.
 
-    ``df`` has ``rep`` and ``mult``; ``first`` marks the baseline row of a person.
-    The result is a written table, since every iteration reads it.
+    ``mult`` counts a row that often if there is such a column.
     """
-    columns = ["rep", "exposed", age, "screen", "screen_1", "screen_2", *INTERVAL_COVARIATES]
-    if dropout:
-        df, columns = df.withColumn("stay", (F.col("drop") == 0).cast("int")), [*columns, "stay"]
-    table = cells(df, columns, {"freq": F.col("mult"), "n_base": F.when(first, F.col("mult")).otherwise(0)})
-    return written(table, "cells")
+    n = F.col("mult") if "mult" in df.columns else F.lit(1)
+    df = df.withColumns({"freq": n, "n_base": F.when(first, n).otherwise(0)})
+    return df.withColumn("stay", (F.col("drop") == 0).cast("int")) if dropout else df
 
 
 def fit_weight_models(
@@ -78,37 +76,36 @@ def fit_weight_models(
     age_as_category: bool = False,
     pooled: bool = False,
     given: Mapping[str, tuple] | None = None,
-) -> tuple[list[Logit], DataFrame]:
-    """Fit all models on the cells; returns the models and one coefficient row per (rep, exposed).
+    counts: Counts | None = None,
+) -> tuple[list[Logit], dict[tuple, np.ndarray]]:
+    """Fit all models, and the marginal probability of exposure, on a written table of ``model_rows``.
 
-    The row also has ``p_exposed``, the marginal probability of exposure.
+    With ``counts`` all its replicates are fitted from the single rows.  The coefficients are keyed
+    ``(name, *group)``.
     """
-    lv = levels(table, [*INTERVAL_COVARIATES, *([age] if age_as_category else [])])
+    lv = levels(table, [*(c for c in INTERVAL_COVARIATES if c not in omit), *([age] if age_as_category else [])])
     lo, hi = table.agg(F.min(age), F.max(age)).first()
-    spline = Spline(age, float(lo), float(hi))
+    spline = Spline(age, float(lo or 0), float(hi or 0))
     term = Category(age, lv[age]) if age_as_category else spline
     by = ("rep",) if pooled else ("rep", "exposed")
     models = weight_models(term, lv, omit, dropout, by, spline, given)
-    beta = fit_logits(table, models)
-    marginal = {
-        r["rep"]: r["p"]
-        for r in table.groupBy("rep")
-        .agg((F.sum(F.col("exposed") * F.col("n_base")) / F.sum("n_base")).alias("p"))
-        .collect()
-    }
+    models.append(Logit("marginal", "exposed", (), freq="n_base", by=("rep",)))
+    return models, fit_logits(table, models, counts=counts)
+
+
+def coefficients(spark: SparkSession, models: Sequence[Logit], beta: Mapping[tuple, np.ndarray]) -> DataFrame:
+    """One row for each stratum: ``beta_<model>`` and ``p_exposed``, the marginal probability of exposure."""
     rows = []
-    for rep, p in sorted(marginal.items()):
-        for exposed in (0, 1):
-            found = [
-                beta.get((m.name, rep, exposed)) if "exposed" in m.by else beta.get((m.name, rep)) for m in models
-            ]
-            rows.append((rep, exposed, float(p), *[None if b is None else [float(x) for x in b] for b in found]))
+    for exposed in (0, 1):
+        found = [beta.get((m.name, exposed) if "exposed" in m.by else (m.name,)) for m in models]
+        p = float(1 / (1 + np.exp(-beta[("marginal",)][0]))) if ("marginal",) in beta else None
+        rows.append((exposed, p, *[None if b is None else [float(x) for x in b] for b in found]))
     schema = T.StructType(
-        [T.StructField("rep", T.IntegerType()), T.StructField("exposed", T.IntegerType()), T.StructField("p_exposed", T.DoubleType())]
+        [T.StructField("exposed", T.IntegerType()), T.StructField("p_exposed", T.DoubleType())]
         + [T.StructField(f"beta_{m.name}", T.ArrayType(T.DoubleType())) for m in models]
     )
-    # Two rows per replicate, a few hundred numbers each: bounded by the replicates asked for, not by the data.
-    return models, F.broadcast(table.sparkSession.createDataFrame(rows, schema))
+    # Two rows of a few hundred numbers, whatever the data.
+    return F.broadcast(spark.createDataFrame(rows, schema))
 
 
 def exposure_weight(p_marginal: Column, p_fitted: Column) -> Column:
@@ -130,11 +127,11 @@ def dropout_weight(p_num: Column, p_den: Column) -> Column:
 
 
 def interval_weights(df: DataFrame, models: Sequence[Logit], coefs: DataFrame, first: Column, order: str = "int") -> DataFrame:
-    """Add ``wt_exposure`` (of the person's first row), ``wt_screen`` and ``wt_drop`` to each row."""
+    """From the ``coefficients`` of one fit add ``wt_exposure`` (of the person's first row), ``wt_screen`` and ``wt_drop`` to each row."""
     p = {m.name: fitted(m.terms, F.col(f"beta_{m.name}")) for m in models}
     person = Window.partitionBy("bene_id", "rep").orderBy(order)
     at_first = F.when(first, exposure_weight(F.col("p_exposed"), p["exposure"]))
-    out = df.join(coefs, ["rep", "exposed"]).withColumns(
+    out = df.join(coefs, "exposed").withColumns(
         {
             "_wt_first": at_first,
             "wt_screen": adherence_weight(p["adherence_num"], p["adherence_den"]),
@@ -162,16 +159,8 @@ def weight_summary(
     df: DataFrame, by: Sequence[str] = ("rep", "age_start"), weight: str = "wt_final", freq: Column | None = None
 ) -> DataFrame:
     """Count, mean, min, p5, p95 and max of the weight over adherent rows per group."""
-    by = list(by)
-    rows = ranked(df.where("cum_screen = 1"), by, weight, freq)
-    return rows.groupBy(*by).agg(
-        F.sum("n").alias("n"),
-        (F.sum(F.col(weight) * F.col("n")) / F.sum("n")).alias("avg_wt"),
-        F.min(weight).alias("min_wt"),
-        F.max(weight).alias("max_wt"),
-        quantile(weight, 0.05).alias("p5_wt"),
-        quantile(weight, 0.95).alias("p95_wt"),
-    )
+    names = {"n": "n", "mean": "avg_wt", "min": "min_wt", "max": "max_wt"}
+    return group_summary(df.where("cum_screen = 1"), by, weight, {"p5_wt": 0.05, "p95_wt": 0.95}, freq, names)
 
 
 def mean_weight_summary(df: DataFrame, by: Sequence[str], weight: str = "wt_final", freq: Column | None = None) -> DataFrame:

@@ -6,16 +6,18 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskline.functions.expressions import ENROLL_PERIODS
+from riskline.operators import bootstrap, sampling, summary, survival, weights
 from riskline.operators import events as ev
-from riskline.operators import sampling, summary, survival, weights
+from riskline.operators.bootstrap import Design, Weights
 from riskline.operators.protocol import apply_protocol
 from riskline.operators.cohort import build_cohort
 from riskline.operators.lineage import written
 from riskline.operators.panel import build_panel
+from riskline.operators.replicates import Counts
 
 # End of follow-up and sampling fractions of the main study.
 MAIN_CUTOFF = date(2015, 9, 30)
@@ -89,56 +91,38 @@ def stratum_panel(panel: DataFrame, column: str, value) -> DataFrame:
     return panel.where(F.col(column) == value)
 
 
-def replicate_panel(rows: DataFrame, reps: int, seed: int = 1, method: str = "poisson") -> DataFrame:
-    """Rows of every replicate with the person's multiplicity ``mult``."""
-    if reps == 0 or method == "poisson":
-        return sampling.with_poisson_counts(rows, reps, seed)
-    if method != "multinomial":
-        raise ValueError(f"unknown method {method!r}")
-    counts = sampling.multinomial_counts(rows.select("bene_id").distinct(), reps, seed)
-    return rows.join(counts, "bene_id")
+def model_table(rows: DataFrame, reps: int, seed: int = 1, method: str = "poisson") -> tuple[DataFrame, Counts]:
+    """The rows of the weight models, written once, with what their tasks draw the replicates from."""
+    drawn, counts = sampling.with_draws(rows.select(*MODEL_COLUMNS), reps, seed, method)
+    return written(weights.model_rows(drawn, F.col("int") == 1), "model-rows"), counts
 
 
-def replicate_weights(
-    rows: DataFrame, reps: int = 0, omit: Sequence[str] = (), seed: int = 1, method: str = "poisson", given=None
-) -> DataFrame:
-    """Interval and final weights of every replicate; ``rows`` come from ``apply_protocol``.
+def _scored(table: DataFrame, models, beta, first: Column, order: str = "int") -> DataFrame:
+    """Interval and final weights of the original rows from one fit, as replicate 0."""
+    once = table.withColumns({"rep": F.lit(0), "mult": F.lit(1)})
+    coefs = weights.coefficients(table.sparkSession, models, beta)
+    return weights.cumulative_weights(weights.interval_weights(once, models, coefs, first, order), order)
+
 
-    ``given`` maps names of weight models to other terms for them.
+def interval_weights(rows: DataFrame, omit: Sequence[str] = (), given=None) -> DataFrame:
+    """Interval and final weights; ``rows`` come from ``apply_protocol``.
 
-    The rows are written once, so neither the model cells nor the scoring repeat
-    the panel build.  For scoring they are clustered by person before they are
-    multiplied by replicate, so the copies themselves are never shuffled.
+    ``given`` maps names of weight models to other terms for them.  The rows are written once, so
+    neither the fits nor the scoring repeat the panel build.
     """
-    rows = rows.select(*MODEL_COLUMNS)
-    if reps and method == "poisson":
-        rows = sampling.with_person_words(rows)
-    rows = written(rows, "model-rows")
-    first = F.col("int") == 1
-    table = weights.model_cells(replicate_panel(rows, reps, seed, method), "age_start", first)
-    models, coefs = weights.fit_weight_models(table, omit=omit, given=given)
-    copies = replicate_panel(rows.repartition("bene_id"), reps, seed, method)
-    return weights.cumulative_weights(weights.interval_weights(copies, models, coefs, first))
-
-
-def weighted_curves(weighted: DataFrame, kind: str = "adherence", mode: str = "asof", cap: float = 100.0) -> DataFrame:
-    """Aligned curves with contrasts per replicate, and the weight summary at its ages."""
-    by = ["rep", "exposed"]
-    keep = [*by, "age_start", "age_end", "event", "mult", "cum_screen", "wt_final", "wt_final_exposure"]
-    rows = written(weighted.select(*keep), "weighted")
-    if kind == "adherence":
-        summ = weights.weight_summary(rows, freq=F.col("mult"))
-        summ = written(summ, "weight-summary")
-        rows = weights.truncate_weight(rows.where("cum_screen = 1"), summ, cap=cap)
-        curve = survival.cumulative_incidence(rows, by, weight=F.col("wt_final") * F.col("mult"))
-    elif kind == "exposure":
-        curve = survival.cumulative_incidence(rows, by, weight=F.col("wt_final_exposure") * F.col("mult"))
-    else:
-        raise ValueError(f"unknown weight kind {kind!r}")
-    res = survival.contrast(survival.align_curves(curve, ["rep"], mode=mode))
-    if kind == "adherence":
-        res = res.join(summ.withColumnRenamed("age_start", "time"), ["rep", "time"], "left")
-    return res
+    table, _ = model_table(rows, 0)
+    models, beta = weights.fit_weight_models(table, omit=omit, given=given)
+    return _scored(table, models, beta, F.col("int") == 1)
+
+
+def replicate_curves(
+    table: DataFrame, counts: Counts, design: Design, models=(), beta=None, origin: float = 50.0
+) -> DataFrame:
+    """Curves of every replicate, stratum by stratum, from single rows; see ``operators.bootstrap``."""
+    by = ["rep", design.stratum]
+    sums = bootstrap.replicate_sums(table, counts, design, Weights(tuple(models), beta or {}))
+    sums = written(sums, "sums")
+    return survival.steps(bootstrap.at_risk(sums, by, design.causes), by, design.causes, origin)
 
 
 def weighted_analysis(
@@ -155,33 +139,82 @@ def weighted_analysis(
     periods: Sequence[tuple[int, int]] = ENROLL_PERIODS,
     tolerance: float = 0.25,
     given=None,
+    cap: float = 100.0,
 ) -> DataFrame:
-    """Sampling, protocol, weights, curves and bootstrap intervals in one plan."""
+    """Sampling, protocol, weights, curves and bootstrap intervals in one plan.
+
+    All replicates are fitted and summed from the single rows.  The weight summary belongs to
+    replicate 0, whose weights are the only ones that become rows.
+    """
     rows = apply_protocol(sampled_panel(panel, fractions, seed), every_years, tolerance, periods)
     if weight_kind == "crude":
         return survival.tidy_curve(survival.robust_incidence(rows), extra=("se", "lower", "upper"))
-    curves = weighted_curves(replicate_weights(rows, reps, omit, seed, method, given), weight_kind, mode)
-    curves = written(curves, "curves")
-    return summary.summarise_bootstrap(curves, summary.curve_measures(), reps, interval_mode)
+    design = Design(weight_kind, survival.CAUSES, cap=cap if weight_kind == "adherence" else None)
+    table, counts = model_table(rows, reps, seed, method)
+    models, beta = weights.fit_weight_models(table, omit=omit, given=given, counts=counts)
+    curve = replicate_curves(table, counts, design, models, beta)
+    curves = written(survival.contrast(survival.align_curves(curve, ["rep"], mode=mode)), "curves")
+    result = summary.summarise_bootstrap(curves, summary.curve_measures(), reps, interval_mode)
+    if weight_kind == "adherence":
+        weighted = _scored(table, models, {k: b[0] for k, b in beta.items()}, F.col("int") == 1)
+        summ = weights.weight_summary(weighted, ["age_start"])
+        result = result.join(summ.withColumnRenamed("age_start", "time"), "time", "left")
+    return result
 
 
 # Event codes of the yearly analysis.
 YEARLY_CAUSES = {"primary": 1, "other": 2, "competing": 3}
 
 
-def yearly_weights(rows: DataFrame, reps: int = 0, seed: int = 1, method: str = "poisson") -> DataFrame:
-    """Pooled weights of the yearly panel, age as a category in the adherence model, no drop-out model."""
+def _yearly_table(rows: DataFrame, reps: int, seed: int, method: str) -> tuple[DataFrame, Counts, Column]:
     first_age = F.min("age").over(Window.partitionBy("bene_id"))
-    rows = written(rows.withColumn("first_age", first_age), "yearly-rows")
+    drawn, counts = sampling.with_draws(rows.withColumn("first_age", first_age), reps, seed, method)
     first = F.col("age") == F.col("first_age")
-    table = weights.model_cells(replicate_panel(rows, reps, seed, method), "age", first, dropout=False)
-    models, coefs = weights.fit_weight_models(table, "age", dropout=False, age_as_category=True, pooled=True)
-    copies = replicate_panel(rows.repartition("bene_id"), reps, seed, method)
-    return weights.cumulative_weights(weights.interval_weights(copies, models, coefs, first, "age"), "age")
+    return written(weights.model_rows(drawn, first, dropout=False), "yearly-rows"), counts, first
+
+
+def yearly_weights(rows: DataFrame, given=None) -> DataFrame:
+    """Pooled weights of the yearly panel, age as a category in the adherence model, no drop-out model."""
+    table, _, first = _yearly_table(rows, 0, 1, "poisson")
+    models, beta = weights.fit_weight_models(table, "age", dropout=False, age_as_category=True, pooled=True, given=given)
+    return _scored(table, models, beta, first, "age")
+
+
+def yearly_bootstrap(
+    rows: DataFrame, reps: int, weighted: bool = False, seed: int = 1, method: str = "poisson", given=None, origin: float = 18.0
+) -> DataFrame:
+    """Yearly risks and differences over three causes with bootstrap standard errors of all nine.
+
+    Rows cover ``(age - 1, age]``, or ``(age, age + 1]`` for the weighted form, which also has
+    the weight summary of replicate 0.
+    """
+    table, counts, first = _yearly_table(rows, reps, seed, method)
+    shift = 1 if weighted else 0
+    table = table.withColumns({"_from": (F.col("age") - 1 + shift).cast("double"), "_to": (F.col("age") + shift).cast("double")})
+    models, beta = (), {}
+    if weighted:
+        models, beta = weights.fit_weight_models(
+            table, "age", dropout=False, age_as_category=True, pooled=True, given=given, counts=counts
+        )
+    design = Design("adherence" if weighted else "count", YEARLY_CAUSES, "_from", "_to", order="age")
+    curve = replicate_curves(table, counts, design, models, beta, origin)
+    curves = written(yearly_contrasts(curve), "yearly-curves")
+    result = summary.summarise_bootstrap(curves, summary.curve_measures(tuple(YEARLY_CAUSES), ratios=False), reps, kind="se")
+    if weighted:
+        scored = _scored(table, models, {k: b[0] for k, b in beta.items()}, first, "age")
+        summ = weights.mean_weight_summary(scored, ["age"])
+        result = result.join(summ.withColumnRenamed("age", "time"), "time", "left")
+    return result
+
+
+def yearly_contrasts(curve: DataFrame) -> DataFrame:
+    """Three-cause curves per replicate on one grid, with risk differences."""
+    wide = survival.align_curves(curve, ["rep"], mode="full", causes=YEARLY_CAUSES)
+    return survival.contrast(wide, YEARLY_CAUSES).drop(*[f"rr_{c}" for c in YEARLY_CAUSES])
 
 
 def yearly_curves(rows: DataFrame, weighted: bool = False, origin: float = 18.0) -> DataFrame:
-    """Aligned three-cause curves per replicate with risk differences.
+    """Aligned three-cause curves of single rows (``rep``, ``mult``) with risk differences.
 
     Rows cover ``(age - 1, age]``, or ``(age, age + 1]`` for the weighted form.
     """
@@ -191,19 +224,8 @@ def yearly_curves(rows: DataFrame, weighted: bool = False, origin: float = 18.0)
     curve = survival.cumulative_incidence(
         spans, ["rep", "exposed"], "_from", "_to", "event", w, YEARLY_CAUSES, origin
     )
-    wide = survival.align_curves(curve, ["rep"], mode="full", causes=YEARLY_CAUSES)
-    res = survival.contrast(wide, YEARLY_CAUSES).drop(*[f"rr_{c}" for c in YEARLY_CAUSES])
+    res = yearly_contrasts(curve)
     if "wt_final" in rows.columns:
         summ = weights.mean_weight_summary(rows, ["rep", "age"], freq=F.col("mult"))
         res = res.join(summ.withColumnRenamed("age", "time"), ["rep", "time"], "left")
     return res
-
-
-def yearly_bootstrap(rows: DataFrame, reps: int, weighted: bool = False, seed: int = 1, method: str = "poisson") -> DataFrame:
-    """Yearly risks and differences over three causes with bootstrap standard errors of all nine."""
-    if weighted:
-        replicates = written(yearly_weights(rows, reps, seed, method), "yearly-weighted")
-    else:
-        replicates = replicate_panel(rows, reps, seed, method)
-    curves = written(yearly_curves(replicates, weighted), "yearly-curves")
-    return summary.summarise_bootstrap(curves, summary.curve_measures(tuple(YEARLY_CAUSES), ratios=False), reps, kind="se")

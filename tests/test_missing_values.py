@@ -72,6 +72,31 @@ def test_weighted_quantiles_match_numpy(spark):
     assert np.allclose([got["a"], got["b"], got["c"]], np.quantile(np.repeat(value, freq), (0.05, 0.5, 0.95)))
 
 
+def test_frequent_value_is_spread(spark):
+    """95 of 100 rows have one value: the ranges hold about equally many distinct ones, and quantiles are exact."""
+    value = F.when(F.col("id") % 20 == 0, F.rand(5)).otherwise(F.lit(1.0))
+    df = written(spark.range(200_000).select(F.lit("a").alias("g"), value.alias("v")), "frequent")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        held = quantiles.histogram(df, ["g"], "v")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in held.groupBy("_part").count().collect()]
+    assert sum(sizes) == 10_001 and len(sizes) >= 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    probs = {f"q{p}": p / 100 for p in (0, 1, 3, 5, 50, 100)}
+    got = quantiles.group_summary(df, ["g"], "v", probs, names={"n": "n", "mean": "m"}).first()
+    values = np.array([r["v"] for r in df.collect()])
+    assert np.allclose([got[c] for c in probs], np.quantile(values, list(probs.values())), rtol=0, atol=1e-15)
+    assert got["n"] == 200_000 and got["m"] == pytest.approx(values.mean())
+
+
+def test_quantile_plan_has_five_exchanges(spark):
+    """Counted over the written steps: histogram, ranges, shares, their order, and the rows of the wanted ranks."""
+    df = spark.range(1000).select((F.col("id") % 7).alias("g"), F.rand(1).alias("v"))
+    plan = quantiles.exact_quantiles(df, ["g"], "v", [0.5], ["m"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1 and "BroadcastHashJoin" in plan
+
+
 def test_procedures_of_one_day_are_all_enrolled(spark):
     people = spark.sql("select 'A' bene_id, date'2000-01-01' baseline, date'2001-01-01' end_date, date'2000-01-01' min_age_date")
     procs = spark.sql("select 'A' bene_id, t proc_type, date'2000-05-01' proc_date from values (1), (2), (1) as v(t)")
@@ -80,7 +105,7 @@ def test_procedures_of_one_day_are_all_enrolled(spark):
 
 def test_changed_files_give_another_panel(spark, tmp_path):
     for name in ("customer", "orders"):
-        shutil.copy(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+        shutil.copyfile(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
     first = cat.panel_table(spark, str(tmp_path)).count()
     spark.read.parquet(f"{SF}/customer.parquet").where("c_custkey % 2 = 0").toPandas().to_parquet(tmp_path / "customer.parquet")
     assert 0 < cat.panel_table(spark, str(tmp_path)).count() < first

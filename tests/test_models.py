@@ -1,12 +1,14 @@
 """Logistic models, weights and whole-analysis invariants."""
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
 from riskline.catalog import queries as cat
-from riskline.operators import glm, survival, weights
+from riskline.operators import bootstrap, glm, replicates, sampling, survival, weights
 from riskline.operators.lineage import written
 from riskline.plans import study as st
 from riskline.sources import derived, files
@@ -15,8 +17,8 @@ from riskline.sources.schema import PANEL
 
 @pytest.fixture(scope="module")
 def table(spark):
-    copies = st.replicate_panel(cat.rows(spark, SF).select(*st.MODEL_COLUMNS), 2)
-    return weights.model_cells(copies, "age_start", F.col("int") == 1)
+    copies = sampling.with_poisson_counts(cat.rows(spark, SF).select(*st.MODEL_COLUMNS), 2)
+    return written(weights.model_rows(copies, F.col("int") == 1), "copies")
 
 
 @pytest.fixture(scope="module")
@@ -45,14 +47,94 @@ def test_fit_matches_plain_least_squares(table, models):
     mu = lambda b: 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
     got = mu(beta[("adherence_num", 0, 0)])
     assert np.allclose(got, mu(reference_fit(x, y, w)), atol=1e-5)
-    assert np.allclose(x.T @ (w * (y - got)), 0, atol=1e-4 * len(y))
-
-
-def test_cells_keep_every_row(spark, table):
-    n = st.replicate_panel(cat.rows(spark, SF), 2).groupBy("rep").agg(F.sum("mult").alias("n"))
-    want = {r["rep"]: r["n"] for r in n.collect()}
-    got = {r["rep"]: r["n"] for r in table.groupBy("rep").agg(F.sum("freq").alias("n")).collect()}
-    assert got == want
+    assert np.allclose(x.T @ (w * (y - got)), 0, atol=1e-6 * len(y))
+
+
+@pytest.mark.parametrize("fan", [glm.FAN, 2])
+def test_replicates_fitted_together_are_those_of_copies(spark, table, models, monkeypatch, fan):
+    """Single rows with multiplicities against a row for every copy; with a narrow tree the sums meet in several steps."""
+    monkeypatch.setattr(glm, "FAN", fan)
+    drawn, counts = sampling.with_draws(cat.rows(spark, SF).select(*st.MODEL_COLUMNS), 2)
+    single = written(weights.model_rows(drawn, F.col("int") == 1).repartition(7), "single")
+    together, apart = glm.fit_logits(single, models, counts=counts), glm.fit_logits(table, models)
+    assert {(k[0], r, *k[1:]) for k in together for r in range(3)} == set(apart)
+    pdf = single.where("exposed = 0")
+    for m in models:
+        x = glm._design(glm.coded(pdf, [m]).toPandas(), m.terms)
+        for k, b in together.items():
+            if k[0] == m.name:
+                for r in range(3):
+                    other = apart[(k[0], r, *k[1:])]
+                    assert np.allclose(np.tanh(x @ b[r] / 60), np.tanh(x @ other / 60), atol=1e-4)
+
+
+def copied_curves(spark, rows, reps, kind, cap, fit, counts_by):
+    """The same analysis with a row for every person and replicate."""
+    parts = []
+    for r in range(reps + 1):
+        once = rows.join(counts_by.where(F.col("rep") == r).select("bene_id", "mult"), "bene_id")
+        models, beta = fit
+        coefs = weights.coefficients(spark, models, {k: b[r] for k, b in beta.items()})
+        scored = weights.interval_weights(once.withColumn("rep", F.lit(r)), models, coefs, F.col("int") == 1)
+        parts.append(weights.cumulative_weights(scored))
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    whole = written(whole, "whole")
+    if kind == "exposure":
+        return survival.cumulative_incidence(whole, ["rep", "exposed"], weight=F.col("wt_final_exposure") * F.col("mult"))
+    summ = written(weights.weight_summary(whole, freq=F.col("mult")), "summ")
+    cut = weights.truncate_weight(whole.where("cum_screen = 1"), summ, cap=cap)
+    return survival.cumulative_incidence(cut, ["rep", "exposed"], weight=F.col("wt_final") * F.col("mult"))
+
+
+@pytest.mark.parametrize("kind, method, cap, grid", [("adherence", "poisson", 100.0, 10**6), ("adherence", "multinomial", 1.05, 60), ("exposure", "poisson", 0.0, 60)])
+def test_curves_from_single_rows_are_those_of_copies(spark, monkeypatch, kind, method, cap, grid):
+    """All replicates, with truncated weights, and with event times in several blocks."""
+    monkeypatch.setattr(bootstrap, "GRID", grid)
+    rows = written(cat.rows(spark, SF).select(*st.MODEL_COLUMNS), "rows")
+    table, counts = st.model_table(rows, 2, 1, method)
+    fit = weights.fit_weight_models(table, counts=counts)
+    design = bootstrap.Design(kind, survival.CAUSES, cap=cap if kind == "adherence" else None)
+    if method == "multinomial":
+        by = sampling.multinomial_counts(rows.select("bene_id").distinct(), 2)
+    else:
+        by = sampling.with_poisson_counts(rows.select("bene_id").distinct(), 2)
+    marked = weights.model_rows(rows, F.col("int") == 1)
+    key = lambda r: (r["rep"], r["exposed"], r["time"])
+    got = {key(r): r for r in st.replicate_curves(table, counts, design, *fit).collect()}
+    want = {key(r): r for r in copied_curves(spark, marked, 2, kind, cap, fit, by).collect()}
+    assert got.keys() == want.keys() and len({k[0] for k in got}) == 3
+    for k, r in want.items():
+        for c in ("n_risk", "n_primary", "n_competing", "surv", "risk_primary", "risk_competing"):
+            assert (r[c] is None and got[k][c] is None) or got[k][c] == pytest.approx(r[c], rel=1e-9, abs=1e-9)
+
+
+def test_rows_are_not_copied(spark):
+    """No stage of the bootstrap makes rows per replicate before they are summed."""
+    table, counts = st.model_table(cat.rows(spark, SF), 5)
+    assert table.count() == cat.rows(spark, SF).count()
+    sums = bootstrap.replicate_sums(table, counts, bootstrap.Design("count", survival.CAUSES))
+    text = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in text and "Join" not in text
+    with pytest.raises(ValueError):
+        sampling.with_draws(table, 2, method="other")
+    with pytest.raises(ValueError):
+        bootstrap.Design("other")
+
+
+def test_pieces_of_a_partition():
+    """Rows of one key stay together, and no row is lost."""
+    rng = np.random.default_rng(1)
+    for size, key in [(1, "k"), (replicates.CELLS // 64, "k"), (replicates.CELLS // 64, None)]:
+        ids = np.repeat(np.arange(300), rng.integers(1, 150, 300))
+        frame = pd.DataFrame({"k": ids, "i": np.arange(len(ids))})
+        batches = [pa.RecordBatch.from_pandas(frame.iloc[i : i + 700], preserve_index=False) for i in range(0, len(frame), 700)]
+        got = list(replicates.chunks(iter(batches), size, key))
+        assert pd.concat(got)["i"].tolist() == frame["i"].tolist()
+        if key:
+            assert all(a["k"].iloc[-1] != b["k"].iloc[0] for a, b in zip(got, got[1:]))
+    assert list(replicates.chunks(iter([]), 3, "k")) == []
 
 
 def test_fitted_expression_matches_design(spark, table, models):
@@ -66,10 +148,10 @@ def test_fitted_expression_matches_design(spark, table, models):
 
 def test_weights_average_to_one_and_ignore_row_order(spark):
     rows = cat.rows(spark, SF)
-    w = written(st.replicate_weights(rows), "w")
+    w = written(st.interval_weights(rows), "w")
     exposure = w.where("int = 1").agg(F.avg("wt_exposure")).first()[0]
     assert exposure == pytest.approx(1.0, abs=0.2)
-    shuffled = st.replicate_weights(rows.repartition(11, F.rand(3)))
+    shuffled = st.interval_weights(rows.repartition(11, F.rand(3)))
     key = lambda d: {(r["bene_id"], r["int"]): r["wt_final"] for r in d.select("bene_id", "int", "wt_final").collect()}
     a, b = key(w), key(shuffled)
     assert a.keys() == b.keys()
@@ -77,7 +159,7 @@ def test_weights_average_to_one_and_ignore_row_order(spark):
 
 
 def test_drop_row_and_deviation_have_no_weight(spark):
-    w = st.replicate_weights(cat.rows(spark, SF))
+    w = st.interval_weights(cat.rows(spark, SF))
     assert w.where("(drop = 1 or cum_screen = 0) and wt_final <> 0").count() == 0
 
 
