@@ -139,9 +139,9 @@ def ctes(s: Setup) -> dict[str, str]:
     c["j1"] = """SELECT b.*, k.proc_type, k.proc_date, k.proc_time, CASE WHEN k.bene_id IS NULL THEN 0 ELSE 1 END AS proc
         FROM b9 b LEFT JOIN kept2 k ON k.bene_id = b.bene_id AND k.int = b.int
         WHERE b.bene_id NOT IN (SELECT bene_id FROM prior)"""
-    c["j2"] = """SELECT *, last_value(proc_date IGNORE NULLS) OVER (PARTITION BY bene_id ORDER BY int
+    c["j2"] = """SELECT *, last_value(proc_date IGNORE NULLS) OVER (PARTITION BY bene_id ORDER BY int, proc_date
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM j1"""
-    c["j3"] = """SELECT *, CASE WHEN proc = 1 THEN lag(carried) OVER (PARTITION BY bene_id ORDER BY int) ELSE carried END
+    c["j3"] = """SELECT *, CASE WHEN proc = 1 THEN lag(carried) OVER (PARTITION BY bene_id ORDER BY int, proc_date) ELSE carried END
         AS date_last_proc FROM j2"""
     c["panel"] = f"""SELECT *, CASE WHEN date_last_proc IS NULL AND proc = 0 THEN {div('baseline', 'int_end', 12)}
         WHEN date_last_proc IS NULL THEN {div('baseline', 'proc_date', 12)}

@@ -25,7 +25,7 @@ from riskline.operators.bootstrap import Design
 from riskline.operators.lineage import fresh_path, written
 from riskline.plans import study as st
 from riskline.sources import derived, files
-from riskline.sources.schema import CONDITIONS, PANEL, SUBJECT, SUBJECT_RENAMES
+from riskline.sources.schema import CONDITIONS, EVENT_LABELS, PANEL, PANEL_RENAMES, SUBJECT, SUBJECT_RENAMES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +77,10 @@ POST = replace(STUDY, window_from=derived.WINDOW_FROM)
 SIX = replace(STUDY, refractory_years=0.5)
 MAIN_TYPE = replace(STUDY, include_types=(1,), exclude_types=None)
 KEEP = replace(STUDY, preserve_boundary_event=True)
+# Refractory times of about an interval and a third of one: an interval then has several procedures.
+QUARTER, MONTH = replace(STUDY, refractory_years=0.25), replace(STUDY, refractory_years=0.083)
+# The study variants that differ from the main one, by the names they are written under.
+VARIANTS = {n: replace(s, name=n) for n, s in (("main", STUDY), ("post2010", POST), ("related6mo", SIX), ("colonoscopy", MAIN_TYPE))}
 EVERY = derived.PROTOCOL_YEARS
 REPS = 10
 
@@ -290,6 +294,8 @@ for _name, _study, _setup in (
     ("panel_full", STUDY, q.Setup()),
     ("panel_post_window", POST, q.Setup(window=True)),
     ("panel_six_months", SIX, q.Setup(years=0.5)),
+    ("panel_three_months", QUARTER, q.Setup(years=0.25)),
+    ("panel_one_month", MONTH, q.Setup(years=0.083)),
     ("panel_main_type", MAIN_TYPE, q.Setup(types="proc_type = 1")),
     ("panel_boundary_event", KEEP, q.Setup(preserve=True)),
 ):
@@ -413,6 +419,47 @@ def panel_csv_roundtrip(spark, sf):
     return files.read_result(spark, path, PANEL, "csv")
 
 
+@query("read_panel_csv", _PANEL_SPEC, "panel")
+def read_panel_csv(spark, sf):
+    """The panel from a file with its own column names and event labels."""
+    path = fresh_path(spark, "panelfile")
+    label = F.create_map(*[F.lit(x) for pair in ((v, k) for k, v in EVENT_LABELS.items()) for x in pair])
+    theirs = panel(spark, sf).withColumn("first_event", F.coalesce(label[F.col("first_event")], "first_event"))
+    files.write_result(theirs.withColumnsRenamed({v: k for k, v in PANEL_RENAMES.items()}), path, "csv")
+    return files.read_panel_csv(spark, path)
+
+
+def _variant(name: str):
+    def run(spark, sf):
+        root = fresh_path(spark, "variants")
+        files.write_panel(panel(spark, sf, VARIANTS[name]), root, name)
+        return files.read_panel(spark, root, name)
+
+    return run
+
+
+for _name, _setup in (
+    ("main", q.Setup()), ("post2010", q.Setup(window=True)), ("related6mo", q.Setup(years=0.5)), ("colonoscopy", q.Setup(types="proc_type = 1")),
+):
+    query(f"variant_{_name}", _PANEL_SPEC, "panel", _setup)(_variant(_name))
+
+
+@query("sex_strata", _PANEL_SPEC, "SELECT * FROM panel WHERE sex IN ('M', 'F')")
+def sex_strata(spark, sf):
+    """Both strata by sex, each read from its own folder."""
+    root = fresh_path(spark, "strata")
+    files.write_strata(panel(spark, sf), root, ("sex",))
+    return files.read_stratum(spark, root, "sex", "M").unionByName(files.read_stratum(spark, root, "sex", "F"))
+
+
+@query("panel_in_order", "bene_id:s int:i place:i", "SELECT *, row_number() OVER (ORDER BY bene_id, int) AS place FROM panel")
+def panel_in_order(spark, sf):
+    """The panel written in order, with the place of each row as the files give it when read one after the other."""
+    path = fresh_path(spark, "ordered")
+    files.write_result(panel(spark, sf), path, order=("bene_id", "int"))
+    return files.with_place(spark.read.schema(PANEL).parquet(path), "place")
+
+
 # ---------------------------------------------------------------- protocol
 
 query("adherence_def2", "bene_id:s int:i screen:i", "rows")(rows)
@@ -1055,6 +1102,45 @@ def bootstrap_cif_saturated(spark, sf):
     )
 
 
+_PCT_ROWS = {**{k: _GRID[k] for k in ("grid", "placed")}, "pct": f"{_PCT} FROM placed GROUP BY time"}
+_BOOTED_SPEC = "time:w " + " ".join(f"{m}:w" for m in _MEASURES) + " " + " ".join(f"{m}_{t}:w" for m in _MEASURES for t in ("ll", "ul"))
+_BOOTED = "SELECT c.*, p.* EXCLUDE (time) FROM contrasted c JOIN pct p ON p.time = c.time WHERE c.rep = 0"
+
+
+@query(
+    "bootstrap_exposure_saturated", _BOOTED_SPEC, _BOOTED,
+    more={
+        **_COPIES, **_ipw_sql("copies"), **q.curve_ctes("curve", "sat", "rep, exposed", "age_start", "age_end", "wt_final_exposure * mult", _C2),
+        **_aligned_sql("rep", ""), **_PCT_ROWS,
+    },
+)
+def bootstrap_exposure_saturated(spark, sf):
+    """The exposure-weighted analysis with bootstrap intervals."""
+    return st.weighted_analysis(
+        panel_table(spark, sf), EVERY, "exposure", reps=REPS, fractions=_ALL, seed=1, periods=derived.PERIODS, given=_one_each(spark, sf)
+    )
+
+
+@query("bootstrap_multinomial_cif", "time:x " + " ".join(f"{m}:x" for m in _MEASURES) + f" {_PCT_SPEC}")
+def bootstrap_multinomial_cif(spark, sf):
+    """The weighted analysis with resamples of n from n people."""
+    return st.weighted_analysis(panel_table(spark, sf), EVERY, reps=4, method="multinomial", periods=derived.PERIODS)
+
+
+@query(
+    "result_weight_stats", " ".join(f"{n}_{c}:w" for c in ("avg_wt", "min_wt", "max_wt") for n in ("mean", "min", "max")),
+    "SELECT " + ", ".join(f"{f}({c}) AS {n}_{c}" for c in ("avg_wt", "min_wt", "max_wt") for n, f in (("mean", "avg"), ("min", "min"), ("max", "max")))
+    + " FROM contrasted c LEFT JOIN summ3 m ON m.rep = c.rep AND m.age_start = c.time",
+    more={
+        **_sat_adherence("SELECT *, 0 AS rep, 1 AS mult FROM rows"),
+        "summ3": "SELECT rep, age_start, avg(wt_final) AS avg_wt, min(wt_final) AS min_wt, max(wt_final) AS max_wt FROM repeated GROUP BY ALL",
+    },
+)
+def result_weight_stats(spark, sf):
+    """Weight statistics over the rows of a result."""
+    return summary.overall_weight_stats(adherence_weighted_saturated(spark, sf))
+
+
 _SCORES = {
     "exposure": ("exposed", "WHERE int = 1", "NULL"),
     "adherence_num": ("screen", "", "exposed"), "adherence_den": ("screen", "", "exposed"),
@@ -1089,24 +1175,30 @@ def score_equations(spark, sf):
 _C3_MEASURES = summary.curve_measures(tuple(_C3), ratios=False)
 
 
+_Y_MULTS = {**{k: v for k, v in _COPIES.items() if k != "copies"}, "people": "SELECT DISTINCT bene_id FROM years"}
+# Curves on a common grid, differences, and deviations over the replicates.
+_Y_SE = {
+    "ytimes": "SELECT DISTINCT rep, time FROM curve UNION SELECT rep, 18 FROM reps",
+    "yal": "SELECT g.*, " + ", ".join(
+        f"coalesce((SELECT arg_max(c.risk_{c}, c.time) FROM curve c WHERE c.exposed = {s} AND c.rep = g.rep AND c.time <= g.time), 0.0) AS risk_{c}{s}"
+        for c in _C3 for s in (0, 1)
+    ) + " FROM ytimes g",
+    "y_all": "SELECT *, " + ", ".join(f"risk_{c}1 - risk_{c}0 AS rd_{c}" for c in _C3) + " FROM yal",
+    "ygrid": "SELECT r.rep, t.time FROM reps r, (SELECT DISTINCT time FROM y_all WHERE rep = 0) t",
+    "yplaced": "SELECT g.rep, g.time, " + ", ".join(f"c.{m}" for m in _C3_MEASURES)
+    + " FROM ygrid g ASOF JOIN y_all c ON c.rep = g.rep AND c.time <= g.time",
+    "ydev": "SELECT time, " + ", ".join(f"stddev_samp({m}) AS se_{m}" for m in _C3_MEASURES) + " FROM yplaced GROUP BY time",
+}
+
+
 @query(
     "yearly_bootstrap_se", "time:x " + " ".join(f"{m}:x se_{m}:x" for m in _C3_MEASURES),
     "SELECT c.*, s.* EXCLUDE (time) FROM y_all c JOIN ydev s ON s.time = c.time WHERE c.rep = 0",
     more={
-        **{k: v for k, v in _COPIES.items() if k != "copies"},
-        "people": "SELECT DISTINCT bene_id FROM years",
+        **_Y_MULTS,
         "ycopies": "SELECT y.*, m.rep, m.mult FROM years y JOIN mults m ON m.bene_id = y.bene_id WHERE m.mult > 0",
         **q.curve_ctes("curve", "ycopies", "rep, exposed", "age - 1", "age", "mult", _C3),
-        "ytimes": "SELECT DISTINCT rep, time FROM curve UNION SELECT rep, 18 FROM reps",
-        "yal": "SELECT g.*, " + ", ".join(
-            f"coalesce((SELECT arg_max(c.risk_{c}, c.time) FROM curve c WHERE c.exposed = {s} AND c.rep = g.rep AND c.time <= g.time), 0.0) AS risk_{c}{s}"
-            for c in _C3 for s in (0, 1)
-        ) + " FROM ytimes g",
-        "y_all": "SELECT *, " + ", ".join(f"risk_{c}1 - risk_{c}0 AS rd_{c}" for c in _C3) + " FROM yal",
-        "ygrid": "SELECT r.rep, t.time FROM reps r, (SELECT DISTINCT time FROM y_all WHERE rep = 0) t",
-        "yplaced": "SELECT g.rep, g.time, " + ", ".join(f"c.{m}" for m in _C3_MEASURES)
-        + " FROM ygrid g ASOF JOIN y_all c ON c.rep = g.rep AND c.time <= g.time",
-        "ydev": "SELECT time, " + ", ".join(f"stddev_samp({m}) AS se_{m}" for m in _C3_MEASURES) + " FROM yplaced GROUP BY time",
+        **_Y_SE,
     },
 )
 def yearly_bootstrap_se(spark, sf):
@@ -1114,6 +1206,37 @@ def yearly_bootstrap_se(spark, sf):
     return st.yearly_bootstrap(yearly(spark, sf), REPS)
 
 
+_SEEN = "CASE WHEN {0} = 1 THEN {1} ELSE 1 - {1} END"
+
+
+@query(
+    "yearly_weighted_saturated", "time:w " + " ".join(f"{m}:w se_{m}:w" for m in _C3_MEASURES) + " avg_wt:w min_wt:w max_wt:w",
+    """SELECT c.*, s.* EXCLUDE (time), m.* EXCLUDE (time) FROM y_all c JOIN ydev s ON s.time = c.time
+      LEFT JOIN ysumm m ON m.time = c.time WHERE c.rep = 0""",
+    more={
+        **_Y_MULTS,
+        "yw0": """SELECT y.*, m.rep, m.mult, y.age = min(y.age) OVER (PARTITION BY y.bene_id, m.rep) AS is_first
+          FROM years y JOIN mults m ON m.bene_id = y.bene_id WHERE m.mult > 0""",
+        "yw1": f"SELECT *, {_mean('screen', 'rep, screen_1')} AS an, {_mean('screen', 'rep, enroll_period')} AS ad FROM yw0",
+        "yw2": f"SELECT *, {_mean('exposed', 'rep')} AS em, {_mean('exposed', 'rep, sex')} AS ep FROM yw0 WHERE is_first",
+        "yw3": f"""SELECT y.*, ({_SEEN.format('y.exposed', 'e.em')}) / ({_SEEN.format('y.exposed', 'e.ep')}) AS wt_exposure,
+          ({_SEEN.format('screen', 'an')}) / ({_SEEN.format('screen', 'ad')}) AS wt_screen
+          FROM yw1 y JOIN (SELECT bene_id, rep, em, ep FROM yw2) e ON e.bene_id = y.bene_id AND e.rep = y.rep""",
+        "yw": """SELECT *, cum_screen * wt_exposure * product(wt_screen) OVER (PARTITION BY bene_id, rep ORDER BY age) AS wt_final FROM yw3""",
+        **q.curve_ctes("curve", "yw", "rep, exposed", "age", "age + 1", "wt_final * mult", _C3),
+        **_Y_SE,
+        "ysumm": """SELECT age AS time, avg(wt_final) AS avg_wt, min(wt_final) AS min_wt, max(wt_final) AS max_wt
+          FROM yw WHERE rep = 0 AND cum_screen = 1 GROUP BY age""",
+    },
+)
+def yearly_weighted_saturated(spark, sf):
+    """The weighted yearly analysis with nine standard errors; one category a model, so the fitted values are group means."""
+    rows_ = yearly(spark, sf)
+    given = {k: v for k, v in _one_each(spark, sf).items() if not k.startswith("stay")}
+    lv = glm.levels(rows_, ["enroll_period"])
+    return st.yearly_bootstrap(rows_, REPS, weighted=True, given={**given, "adherence_den": (glm.Category("enroll_period", lv["enroll_period"]),)})
+
+
 # ---------------------------------------------------------------- descriptive tables
 
 

@@ -3,8 +3,10 @@
 The cohort row of a person carries the whole (thinned) procedure history, so
 the panel is one ``explode`` of that row: interval bounds, condition flags,
 procedure matches and carried-forward history are plain expressions on it.
-No window, join or second shuffle is needed, and the rows stay where the
-person is.
+Intervals and procedures are merged by the stretches between procedures, in time
+proportional to their number; an interval has a row for each of its procedures, or
+one without.  No window, join or second shuffle is needed, and the rows stay
+where the person is.
 """
 
 from __future__ import annotations
@@ -48,28 +50,67 @@ def with_interval_count(
     )
 
 
+def _bounds(i: Column, months: int) -> list[Column]:
+    """Number, start and stop date of an interval or the drop-out row; ``stop`` is the next start, or the event date in the event interval."""
+    event, base = F.col("event_date"), F.col("baseline")
+    is_drop = i > F.col("n_int")
+    return [
+        i.alias("int"),
+        F.when(is_drop, event).otherwise(cal.interval_start(base, i, months)).alias("int_start"),
+        F.when(is_drop, F.date_add(event, 1))
+        .when(i == F.col("event_int"), event)
+        .otherwise(cal.interval_start(base, i + 1, months))
+        .alias("stop"),
+    ]
+
+
 def expand_intervals(people: DataFrame, months: int = 3) -> DataFrame:
     """One row per interval ``int`` = 1, 2, … and the one-day drop-out row, with start and stop date.
 
-    ``stop`` is the next start, or the event date in the event interval.  The
-    dates are built once per interval inside the exploded array, so later steps
+    The dates are built once per interval inside the exploded array, so later steps
     refer to plain columns.
     """
-    event, base = F.col("event_date"), F.col("baseline")
+    rows = F.transform(F.sequence(F.lit(1), F.col("n_int") + F.col("n_drop")), lambda i: F.struct(*_bounds(i, months)))
+    return people.withColumn("_i", F.explode(rows)).select("*", "_i.*").drop("_i")
+
+
+def expand_history(people: DataFrame, months: int = 3) -> DataFrame:
+    """The rows of ``expand_intervals``, one for each procedure of the interval, with the date of the last one before.
+
+    ``procs`` is a person's sorted history.  Stretch j has the row of procedure j and
+    the rows of the intervals up to the next procedure; stretch 0 those before the first.
+    Intervals are bounded by calendar anchors counted from baseline.  Procedures
+    outside them belong to no interval, so they neither set the flag nor the last date.
+    """
+    n = F.col("n_int") + F.col("n_drop")
+
+    def place(p: Column) -> Column:
+        day = p["proc_date"]
+        index = cal.interval_index(F.col("baseline"), day, months).cast("int")
+        return F.struct(index.alias("int"), day.alias("proc_date"), p["proc_type"].alias("proc_type"))
 
-    def bounds(i: Column) -> Column:
-        is_drop = i > F.col("n_int")
-        return F.struct(
-            i.alias("int"),
-            F.when(is_drop, event).otherwise(cal.interval_start(base, i, months)).alias("int_start"),
-            F.when(is_drop, F.date_add(event, 1))
-            .when(i == F.col("event_int"), event)
-            .otherwise(cal.interval_start(base, i + 1, months))
-            .alias("stop"),
+    none = F.filter(F.array(place(F.struct(F.lit(None).cast("date").alias("proc_date"), F.lit(None).cast("int").alias("proc_type")))), lambda p: F.lit(False))
+    inside = F.filter(F.transform("procs", place), lambda p: (p["int"] >= 1) & (p["int"] <= n))
+    people = people.withColumn("_own", F.coalesce(inside, none))
+    own = F.col("_own")
+
+    def stretch(j: Column) -> Column:
+        this, last = F.get(own, j - 1), F.get(own, j - 2)["proc_date"]
+        first = F.when(j == 0, F.lit(1)).otherwise(this["int"] + 1)
+        until = F.when(j == F.size(own), n).otherwise(F.get(own, j)["int"] - 1)
+
+        def row(i: Column, day: Column, kind: Column, before: Column) -> Column:
+            return F.struct(*_bounds(i, months), day.alias("proc_date"), kind.alias("proc_type"), before.alias("date_last_proc"))
+
+        blank = F.transform(
+            F.sequence(first, until), lambda i: row(i, F.lit(None).cast("date"), F.lit(None).cast("int"), this["proc_date"])
         )
+        empty = F.slice(F.array(row(F.lit(1), this["proc_date"], this["proc_type"], last)), 1, 0)
+        with_own = F.when(j > 0, F.array(row(this["int"], this["proc_date"], this["proc_type"], last))).otherwise(empty)
+        return F.concat(with_own, F.when(first <= until, blank).otherwise(empty))
 
-    rows = F.transform(F.sequence(F.lit(1), F.col("n_int") + F.col("n_drop")), bounds)
-    return people.withColumn("_i", F.explode(rows)).select("*", "_i.*").drop("_i")
+    rows = F.flatten(F.transform(F.sequence(F.lit(0), F.size(own)), stretch))
+    return people.withColumn("_i", F.explode(rows)).select("*", "_i.*").drop("_i", "_own")
 
 
 def with_interval_bounds(df: DataFrame) -> DataFrame:
@@ -99,23 +140,7 @@ def with_condition_count(df: DataFrame, months: int = 3) -> DataFrame:
 
 
 def with_procedures(df: DataFrame, months: int = 3) -> DataFrame:
-    """Procedure of the interval and the last one in an earlier interval.
-
-    Intervals are bounded by calendar anchors counted from baseline.  Procedures
-    before baseline belong to no interval, so they neither set the flag nor the
-    last date.
-    """
-    df = df.withColumns(
-        {
-            "_lo": F.add_months("baseline", (F.col("int") - 1) * months),
-            "_hi": F.add_months("baseline", F.col("int") * months),
-        }
-    )
-    day = lambda p: p["proc_date"]
-    own = F.get(F.filter("procs", lambda p: (day(p) >= F.col("_lo")) & (day(p) < F.col("_hi"))), F.lit(0))
-    earlier = F.filter("procs", lambda p: (day(p) >= F.col("baseline")) & (day(p) < F.col("_lo")))
-    df = df.withColumns({"_own": own, "date_last_proc": F.array_max(earlier)["proc_date"]})
-    df = df.withColumns({"proc_type": F.col("_own.proc_type"), "proc_date": F.col("_own.proc_date")}).drop("_own")
+    """What follows from the row's procedure and the last one before it."""
     since = F.coalesce("date_last_proc", "baseline")
     until = F.coalesce("proc_date", "int_end")
     return df.withColumns(
@@ -125,13 +150,11 @@ def with_procedures(df: DataFrame, months: int = 3) -> DataFrame:
             "years_since_proc": cal.calendar_div(since, until, 12),
             "prior_proc": F.col("date_last_proc").isNotNull().cast("int"),
         }
-    ).drop("_lo", "_hi")
+    )
 
 
-def people_with_history(cohort: DataFrame, procedures: DataFrame, years: float = 1.0, months: int = 3) -> DataFrame:
+def people_with_history(cohort: DataFrame, procedures: DataFrame, years: float = 1.0) -> DataFrame:
     """Cohort without prior-procedure people, each with the thinned history ``procs``."""
-    if years * 12 < 2 * months:
-        raise ValueError("the refractory time must cover at least two intervals")
     people = ev.attach_history(cohort, procedures)
     people = people.where(~ev.had_prior_procedure(F.col("procs"), F.col("min_age_date")))
     return people.withColumn("procs", ev.thin_history(F.col("procs"), years))
@@ -147,9 +170,9 @@ def panel_rows(
     preserve_boundary_event: bool = False,
 ) -> DataFrame:
     """Rows of the panel with everything known about them, clustered by person."""
-    people = people_with_history(cohort, procedures, years, months)
+    people = people_with_history(cohort, procedures, years)
     people = with_interval_count(people, cutoff, months, age_cap, preserve_boundary_event)
-    rows = with_interval_bounds(expand_intervals(people, months))
+    rows = with_interval_bounds(expand_history(people, months))
     return with_procedures(with_condition_count(rows, months), months)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,12 +46,9 @@ def write_panel(panel: DataFrame, root: str, analysis: str) -> None:
     _by_folder(panel, ["race", "sex"]).write.mode("overwrite").partitionBy("race", "sex").parquet(f"{root}/analysis={analysis}")
 
 
-# A folder gets at most this many files, so that one holding most rows is still written by many tasks.
-FILES = 16
-
-
 def _by_folder(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.repartition(*columns, F.pmod(F.xxhash64("bene_id"), F.lit(FILES)))
+    """Rows dealt by folder in tasks of about equal size: a large folder is written by many, small ones by one."""
+    return df.hint("rebalance", *[F.col(c) for c in columns])
 
 
 def read_panel(spark: SparkSession, root: str, analysis: str = "main", stratum: tuple[str, object] | None = None) -> DataFrame:
@@ -104,6 +101,18 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet", order: Sequence
         writer.parquet(path)
 
 
+def with_place(df: DataFrame, name: str) -> DataFrame:
+    """Rows of Parquet files with their place, from 1, when the files are read by name one after the other.
+
+    Only the number of rows of each file is ordered.
+    """
+    at = df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = at.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    placed = at.join(sizes.select("_file", F.coalesce(ahead, F.lit(0)).alias("_ahead")), "_file")
+    return placed.withColumn(name, F.col("_ahead") + F.col("_row") + 1).drop("_file", "_row", "_ahead")
+
+
 def read_result(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
     """Read a result back with its schema; nothing is inferred."""
     if fmt == "csv":

@@ -315,3 +315,45 @@ def test_crosstab_keeps_empty_cells(spark):
     df = spark.createDataFrame([("a", 0), ("a", 0), ("b", 1)], "x string, y int")
     got = {(r["x"], r["y"]): (r["n"], round(r["chisq"], 6)) for r in summary.crosstab_chisq(df, "x", "y").collect()}
     assert got == {("a", 0): (2, 0.333333), ("a", 1): (0, 0.666667), ("b", 0): (0, 0.666667), ("b", 1): (1, 1.333333)}
+
+
+def test_several_procedures_in_an_interval(spark):
+    """A row for each procedure of an interval, each with the date of the one before; other intervals carry the last."""
+    from riskline.operators import panel as pn
+
+    people = spark.sql(
+        """select id as bene_id, date'2000-01-31' as baseline, date'2001-01-31' as event_date, 4 as event_int, 4 as n_int, n_drop,
+        case when id = 1 then transform(array('2000-01-30', '2000-02-01', '2000-02-20', '2000-04-29', '2000-04-30', '2000-12-01', '2001-03-01'),
+          d -> struct(cast(d as date) as proc_date, 1 as proc_type)) when id = 2 then array() end as procs
+        from values (1, 0), (2, 1), (3, 0) as v(id, n_drop)"""
+    )
+    rows = pn.expand_history(people).select("bene_id", "int", F.col("proc_date").cast("string"), F.col("date_last_proc").cast("string"), "proc_type")
+    got = sorted(map(tuple, rows.collect()), key=lambda r: (r[0], r[1], r[2] or ""))
+    assert [r[1:4] for r in got if r[0] == 1] == [
+        (1, "2000-02-01", None), (1, "2000-02-20", "2000-02-01"), (1, "2000-04-29", "2000-02-20"),
+        (2, "2000-04-30", "2000-04-29"), (3, None, "2000-04-30"), (4, "2000-12-01", "2000-04-30"),
+    ]
+    assert [r[1:] for r in got if r[0] == 2] == [(i, None, None, None) for i in range(1, 6)]
+    assert [r[1:] for r in got if r[0] == 3] == [(i, None, None, None) for i in range(1, 5)]
+    stops = pn.expand_history(people).where("bene_id = 2").orderBy("int").select("int_start", "stop").collect()
+    assert [a["stop"] == b["int_start"] for a, b in zip(stops, stops[1:])] == [True] * 4
+
+
+def test_folders_are_written_by_content(spark, tmp_path):
+    """The files of a folder follow its rows."""
+    import glob
+
+    from riskline.sources import files
+
+    df = spark.range(60_000).select(
+        F.when(F.col("id") < 50, "F").otherwise("M").alias("sex"), F.md5(F.col("id").cast("string")).alias("bene_id"), F.rand(1).alias("x")
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256KB")
+    try:
+        files.write_strata(df, str(tmp_path), ("sex",))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    count = {s: len(glob.glob(f"{tmp_path}/by_sex/sex={s}/*.parquet")) for s in "FM"}
+    assert count["F"] == 1 and count["M"] > 4
+    back = files.read_stratum(spark, str(tmp_path), "sex", "M", df.schema)
+    assert back.count() == 59_950
