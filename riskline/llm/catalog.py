@@ -111,9 +111,9 @@ worded AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY p) AS i, trim(
     len(list_filter(regexp_split_to_array(line, '[ \t-\r]+'), lambda w: w <> '')) AS n
   FROM raw WHERE regexp_matches(line, '[^ \t-\r]')),
 spans AS (SELECT a.rid, a.doc_id, a.i AS s, b.i AS e, list(c.x ORDER BY c.i) AS body
-  FROM worded a JOIN worded b ON b.rid = a.rid AND b.i BETWEEN a.i AND a.i + 3
+  FROM worded a JOIN worded b ON b.rid = a.rid AND b.i BETWEEN a.i AND a.i + 1
   JOIN worded c ON c.rid = a.rid AND c.i BETWEEN a.i AND b.i
-  GROUP BY ALL HAVING sum(c.n) >= 40 OR count(*) >= 4),
+  GROUP BY ALL HAVING sum(c.n) >= 6 OR count(*) >= 2),
 later AS (SELECT *, (doc_id, s) > min((doc_id, s)) OVER (PARTITION BY body) AS again FROM spans),
 gone AS (SELECT DISTINCT w.rid, w.p FROM later l JOIN worded w ON w.rid = l.rid AND w.i BETWEEN l.s AND l.e WHERE l.again)
 SELECT d.doc_id, CAST(count(w.p) AS BIGINT) AS n_lines, CAST(count(g.p) AS BIGINT) AS n_lines_removed,

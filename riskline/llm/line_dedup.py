@@ -35,8 +35,8 @@ from riskline.operators.lineage import written
 
 @dataclass(frozen=True)
 class Window:
-    words: int = 40
-    lines: int = 4
+    words: int = 6
+    lines: int = 2
 
 
 def _end(a: Column, i: Column, w: Window) -> Column:

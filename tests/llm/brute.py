@@ -28,7 +28,7 @@ def quality(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(hit), len(w) < 20 or 100 * len(hit) > 30 * len(w)
 
 
-def line_dedup(docs, words=40, lines=4):
+def line_dedup(docs, words=6, lines=2):
     """Lines that runs of that size cover which occur earlier; docs: (doc_id, text) with distinct ids."""
     worded = {d: [(p, x.strip(" \t\n\x0b\x0c\r"), len(WORD.findall(x))) for p, x in enumerate((t or "").split("\n")) if WORD.search(x)] for d, t in docs}
     first, out = {}, {}
