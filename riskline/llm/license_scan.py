@@ -7,7 +7,8 @@ and its suffix links give the suffix of that run which each other notice holds.
 that a notice cannot make longer and that have at least ``MIN_RUN`` words are chained for
 it: runs in order in the text and in the notice, with at most ``MAX_GAP``
 foreign words between them, cover the words of a span.  A name of a licence is never
-bridged: foreign or missing words in it name another licence.  A notice whose covered
+bridged: foreign or missing words in it name another licence, and so do words behind a name that
+make a longer one of it.  A notice whose covered
 share reaches ``COVERED`` gives its label.  The phrases of the base rule are whole
 strings of the same automaton, so each of their places ends at a state that
 holds them.
@@ -59,12 +60,37 @@ NOTICES = [
     ("cc-by-nd", "licensed under cc by nd 4 0"),
     ("cc-by-nc-sa", "licensed under cc by nc sa 4 0"),
     ("cc-by-nc-nd", "licensed under cc by nc nd 4 0"),
+    ("mit", "spdx license identifier mit"),
+    ("isc", "spdx license identifier isc"),
+    ("apache", "spdx license identifier apache 2 0"),
+    ("bsd", "spdx license identifier bsd 2 clause"),
+    ("bsd", "spdx license identifier bsd 3 clause"),
+    ("gpl", "spdx license identifier gpl 2 0"),
+    ("gpl", "spdx license identifier gpl 3 0"),
+    ("lgpl", "spdx license identifier lgpl 2 1"),
+    ("lgpl", "spdx license identifier lgpl 3 0"),
+    ("agpl", "spdx license identifier agpl 3 0"),
+    ("mpl", "spdx license identifier mpl 2 0"),
+    ("epl", "spdx license identifier epl 2 0"),
+    ("unlicense", "spdx license identifier unlicense"),
+    ("cc0", "spdx license identifier cc0 1 0"),
+    ("cc-by", "spdx license identifier cc by 4 0"),
+    ("cc-by-sa", "spdx license identifier cc by sa 4 0"),
 ]
+# What may follow the attribution licence's name, with the labels.
+ATTRIBUTION = [
+    ("cc-by-nc", "noncommercial"), ("cc-by-sa", "sharealike"), ("cc-by-nd", "noderivatives"), ("cc-by-nd", "noderivs"),
+    ("cc-by-nc-sa", "noncommercial sharealike"), ("cc-by-nc-nd", "noncommercial noderivatives"), ("cc-by-nc-nd", "noncommercial noderivs"),
+    ("cc-by-nc", "non commercial"), ("cc-by-sa", "share alike"), ("cc-by-nd", "no derivatives"),
+    ("cc-by-nc-sa", "non commercial share alike"), ("cc-by-nc-nd", "non commercial no derivatives"),
+]
+NOTICES += [(label, f"licensed under a creative commons attribution {more} 4 0 international license") for label, more in ATTRIBUTION]
 # Names of licences, which a chain covers without a gap or not at all.
 NAMES = [
     "gnu general public license", "gnu lesser general public license", "gnu library general public license", "gnu affero general public license",
     "gnu free documentation license", "apache license", "mozilla public license", "eclipse public license", "mit license", "artistic license",
     "creative commons attribution", "cc by", "cc by sa", "cc by nc", "cc by nd", "cc by nc sa", "cc by nc nd",
+    *[f"creative commons attribution {more}" for _, more in ATTRIBUTION],
 ]
 #: Whole texts of licences, by file in ``licenses``.
 TEXTS = {
@@ -96,7 +122,11 @@ class Scanner:
         self.automaton = Automaton({s: k for k, s in reversed(list(enumerate(split)))})
         self.split = split
         self.places = self._places(split)
-        self.behind = self._behind([tuple(words_of(n)) for n in NAMES])
+        names = [tuple(words_of(n)) for n in NAMES]
+        self.behind = self._behind(names)
+        self.names: dict[bytes, list[tuple[bytes, ...]]] = defaultdict(list)
+        for n in sorted(names, key=len, reverse=True):
+            self.names[n[0]].append(n)
 
     def _places(self, split: list[tuple[bytes, ...]]) -> list[list[tuple[int, int]]]:
         """For each state the (notice, end) at which its words stand."""
@@ -158,7 +188,16 @@ class Scanner:
             for k, n in sam.ends[state if sam.size[state] <= length else sam.link[state]]
             if k < self.n_phrases
         ]
-        return len(words), base, self._chains(self._pieces(words, stats))
+        return len(words), base, self._chains(self._pieces(words, stats), self._inside(words))
+
+    def _inside(self, words: list[bytes]) -> set[int]:
+        """The places inside a name, the longest that begins at its first word."""
+        out: set[int] = set()
+        for i, w in enumerate(words):
+            if w in self.names:
+                size = next((len(n) for n in self.names[w] if tuple(words[i : i + len(n)]) == n), 0)
+                out.update(range(i + 1, i + size))
+        return out
 
     def _pieces(self, words: list[bytes], stats: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
         """For each notice the runs that it holds and cannot make longer, as (start, place, length)."""
@@ -178,7 +217,7 @@ class Scanner:
                 length = min(length, sam.size[state])
         return by_notice
 
-    def _chains(self, by_notice: dict[int, list[tuple[int, int, int]]]) -> list[tuple[int, int, int, float]]:
+    def _chains(self, by_notice: dict[int, list[tuple[int, int, int]]], inside: set[int]) -> list[tuple[int, int, int, float]]:
         """The best chain of each notice around each place, as (notice, start, end, covered share)."""
         spans = []
         for k, pieces in by_notice.items():
@@ -189,6 +228,8 @@ class Scanner:
             for j, (start, at, length) in enumerate(pieces):
                 covered, first = length, start
                 for stop in range(start - MAX_GAP, start + 1):
+                    if stop < start and stop in inside:
+                        continue
                     for i in ending.get(stop, ()):
                         if behind[at] <= pieces[i][1] + pieces[i][2] <= at and best[i][0] + length > covered:
                             covered, first = best[i][0] + length, best[i][1]

@@ -278,3 +278,18 @@ def test_odd_values(odd):
     assert ids[(None, 0)] == 0 and ids[(1, 0)] == 0 and ids[(2, 0)] == 0
     gone = [(r["doc_id"], r["n_removed"] > 0) for r in suffix_dedup.removed(odd).collect() if r["n_bytes"] > 200 and r["n_bytes"] < 1000]
     assert sorted(gone, key=str) == [(5, False), (5, False), (7, True), (None, True)]
+
+
+def test_long_names_of_licences():
+    """What follows the attribution licence's name makes another licence of it."""
+    scanner = license_scan.Scanner()
+    label = lambda t: license_scan.describe(scanner, t)[5]
+    name = "licensed under a Creative Commons Attribution{} 4.0 International License"
+    for head in ("", "This work is "):
+        assert label(head + name.format("-NonCommercial")) == ["cc-by-nc"]
+        assert label(head + name.format("-NonCommercial-NoDerivatives")) == ["cc-by-nc-nd"]
+        assert label(head + name.format("-NonCommercial-ShareAlike")) == ["cc-by-nc-sa"]
+        assert label(head + name.format("-ShareAlike")) == ["cc-by-sa"]
+        assert label(head + name.format("-NoDerivatives")) == ["cc-by-nd"]
+    assert label("This work is " + name.format("")) == ["cc-by"]
+    assert label("SPDX-License-Identifier: MIT") == ["mit"] and label("SPDX-License-Identifier: GPL-3.0-or-later") == ["gpl"]
