@@ -124,7 +124,9 @@ def element(tag: str, attributes: str) -> tuple[list[int], int]:
     concealed = HIDDEN.search(said) is not None
     if concealed:
         found.append(INDEX["hidden"])
-    away = group in AWAY or concealed or bool(hints - {"content", "share"})
+    # The head of a post or an article holds its title; that of a page does not.
+    own = {"content", "share", "head"} if "content" in hints else {"share"}
+    away = group in AWAY or concealed or bool(hints - own)
     made = found, ASIDE if away else CENTRE if group == "article" or "content" in hints else PLAIN
     if len(_SEEN) < 10_000 and len(attributes) < 1_000:
         _SEEN[key] = made
@@ -411,14 +413,34 @@ def layouts(n: int = 80, seed: int = 7) -> list[tuple[Page, list[int]]]:
                 centre = f"<div>{centre}</div>"
             centre = f"<body>{''.join(around[:cut])}{centre}{''.join(around[cut:])}</body>"
         source = f"<html>{centre}</html>"
-        page = parse(source)
-        # The centre is the first element named so: its start is the only one with the mark.
-        index, inside = _marked(source, page), [False] * len(page.names)
-        inside[index] = True
-        made.append((page, labels_by(page, inside)))
+        made.append(_labelled(source))
+    for _ in range(n // 2):
+        # The text stands in no paragraph: in the body itself, a cell, or one container for all of it.
+        text = "<br>".join(words(6, 90) + rng.choice([".", ".", ""]) for _ in range(rng.randint(1, 3)))
+        title = rng.choice(["", "", f"<h1>{words(2, 8)}</h1>", f"<h2>{words(2, 8)}</h2>"])
+        box = rng.choice(["{0}{1}", "{0}{1}", "<center>{0}{1}</center>", "{0}<pre>{1}</pre>", "{0}<div>{1}</div>", "{0}<table><tr><td>{1}</td></tr></table>", "<table><tr><td>{0}{1}</td></tr></table>"])
+        around = [rng.choice([beside, plain])() for _ in range(rng.randint(0, 2))]
+        cut = rng.randint(0, len(around))
+        made.append(_labelled(f"<html><body data-centre>{''.join(around[:cut])}{box.format(title, text)}{''.join(around[cut:])}</body></html>"))
+    for _ in range(n // 4):
+        # The title of an article in a box of its own.
+        box = f'<div class="{rng.choice(["post", "entry", "article", "content", "story"])}-{rng.choice(["header", "head", "top"])}"><h1>{words(2, 9)}</h1></div>'
+        around = [rng.choice([beside, plain])() for _ in range(rng.randint(1, 3))]
+        made.append(_labelled(f"<html><body>{around[0]}<article data-centre>{box}{body()}</article>{''.join(around[1:])}</body></html>"))
+        # An article of a few words, on a page without more of a frame.
+        short = "".join(rng.choice([f"<p>{words(1, 4)}.</p>", f"<p>{words(1, 4)}</p>", beside()]) for _ in range(rng.randint(1, 3)))
+        made.append(_labelled(f"<html>{around[0]}<article data-centre><p>{words(1, 4)}.</p>{short}</article>{''.join(around[1:])}</html>"))
     return made
 
 
+def _labelled(source: str) -> tuple[Page, list[int]]:
+    """A page labelled by the element that carries the mark of the centre."""
+    page = parse(source)
+    inside = [False] * len(page.names)
+    inside[_marked(source, page)] = True
+    return page, labels_by(page, inside)
+
+
 def _marked(source: str, page: Page) -> int:
     """The number of the element that carries the mark of the centre."""
     before = source[: source.index("data-centre")]
