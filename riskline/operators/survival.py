@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskline.functions.expressions import ratio
+from riskline.operators import exact
 from riskline.operators.lineage import written
 
 # Weights are summed as decimals: exact whatever their order, so what leaves a risk set is what entered it.
@@ -51,9 +52,11 @@ def risk_sets(
     A row is at risk over ``(start, stop]``; rows that do not last carry no weight.  A
     weight counts to 15 decimals.
     """
-    w = F.lit(1) if weight is None else weight if dict(df.select(weight.alias("w")).dtypes)["w"] in WHOLE else weight.cast(WEIGHT)
-    rows = df.withColumn("_w", F.when(F.col(start) < F.col(stop), w).otherwise(F.lit(0) * w))
-    none = F.lit(0) * F.col("_w")
+    kind = "bigint" if weight is None or dict(df.select(weight.alias("w")).dtypes)["w"] in WHOLE else WEIGHT
+    w = F.lit(1) if weight is None else weight
+    # A product with zero would widen the type and cut decimals; a missing weight counts nothing.
+    none = F.lit(0).cast(kind)
+    rows = df.withColumn("_w", F.when((F.col(start) < F.col(stop)) & w.isNotNull(), w.cast(kind)).otherwise(none))
     enter = F.struct(
         F.col(start).cast("double").alias("time"), F.col("_w").alias("enter"), none.alias("leave"),
         *[none.alias(f"n_{c}") for c in causes],
@@ -69,7 +72,7 @@ def risk_sets(
     )
     entered = F.sum("enter").over(_before(by))
     left = F.sum("leave").over(_before(by))
-    out = sums.withColumn("n_risk", F.coalesce(entered - left, F.lit(0)))
+    out = sums.withColumn("n_risk", F.coalesce((entered - left).cast(kind), none))
     if weight is None:
         return out
     return out.withColumns({c: F.col(c).cast("double") for c in ("enter", "leave", "n_risk", *[f"n_{c}" for c in causes])})
@@ -85,7 +88,9 @@ def _curve(sets: DataFrame, by: Sequence[str], causes: Mapping[str, int]) -> Dat
     h = sum((F.col(f"h_{c}") for c in causes), F.lit(0.0))
     # All causes are held together, so that survival and incidences add up to one.
     df = df.withColumns({f"h_{c}": F.col(f"h_{c}") / F.greatest(h, F.lit(1.0)) for c in causes})
-    df = df.withColumn("h", F.least(h, F.lit(1.0))).withColumn("surv", F.product(1 - F.col("h")).over(_upto(by)))
+    # Where everybody at risk has an event nothing is left, whatever the shares' last digit says.
+    last = sum((F.col(f"n_{c}") for c in causes), F.lit(0)) >= F.col("n_risk") * (1 - 1e-15)
+    df = df.withColumn("h", F.when(last & (F.col("n_risk") > 0), 1.0).otherwise(F.least(h, F.lit(1.0)))).withColumn("surv", F.product(1 - F.col("h")).over(_upto(by)))
     df = df.withColumn("surv_before", F.lag("surv", 1, 1.0).over(_ordered(by)))
     return df.withColumns(
         {f"risk_{c}": F.sum(F.col("surv_before") * F.col(f"h_{c}")).over(_upto(by)) for c in causes}
@@ -224,11 +229,12 @@ def robust_incidence(
     P and Q change linearly in two curve functions while the person is at risk and
     stay constant otherwise.  The sums of squares and products over people are thus
     running sums over entries and exits at the distinct times, at every time at
-    once, and cost one pass over the rows.
+    once, and cost one pass over the rows; they are exact, see ``operators.exact``.
+    Rows without a weight take no part.
     """
     by = list(by)
     w = F.lit(1.0) if weight is None else weight.cast("double")
-    rows = df.where(F.col(start) < F.col(stop)).select(
+    rows = df.where((F.col(start) < F.col(stop)) & w.isNotNull() & ~F.isnan(w)).select(
         *by, key, F.col(start).cast("double").alias("_a"), F.col(stop).cast("double").alias("_b"),
         F.col(event).alias("_e"), w.alias("_w"),
     )
@@ -267,49 +273,15 @@ def robust_incidence(
     rows = rows.withColumn("_next", F.lead("_a").over(person))
 
     # While at risk a part equals o + w*g(t); after the row it is the constant e.
-    pairs = [("q", "q")] + [("q", f"p_{c}") for c in causes] + [(f"p_{c}", f"p_{c}") for c in causes]
-    o = {p: F.col(f"c_{p}") - F.col("_w") * F.col(f"_in.g_{p}") for p in parts}
-    e = {p: F.col(f"c_{p}") + F.col(f"d_{p}") for p in parts}
-    terms: dict[str, tuple[Column, Column]] = {"w2": (F.col("_w") * F.col("_w"), F.lit(0.0))}
-    for p in parts:
-        terms[f"wo_{p}"] = (F.col("_w") * o[p], F.lit(0.0))
-    for p, r in pairs:
-        terms[f"oo_{p}_{r}"] = (o[p] * o[r], F.lit(0.0))
-        terms[f"ee_{p}_{r}"] = (F.lit(0.0), e[p] * e[r])
-
-    def point(time: Column, live: int, rest: int) -> Column:
-        return F.struct(
-            time.alias("time"), *[(F.lit(live) * a + F.lit(rest) * b).alias(n) for n, (a, b) in terms.items()]
-        )
-
-    moves = F.array(
-        point(F.col("_a"), 1, 0),
-        point(F.col("_b"), -1, 1),
-        F.when(F.col("_next").isNotNull(), point(F.col("_next"), 0, -1)),
+    spans = rows.select(
+        *by, F.col("_a").alias("start"), F.col("_b").alias("stop"), F.col("_next").alias("next"), F.col("_w").alias("w"),
+        *[(F.col(f"c_{p}") - F.col("_w") * F.col(f"_in.g_{p}")).alias(f"o_{p}") for p in parts],
+        *[(F.col(f"c_{p}") + F.col(f"d_{p}")).alias(f"e_{p}") for p in parts],
     )
-    points = rows.select(*by, F.explode(moves).alias("_m")).where("_m is not null").select(*by, "_m.*")
-    sums = points.groupBy(*by, "time").agg(*[F.sum(n).alias(n) for n in terms])
-    sums = sums.withColumns({n: F.sum(n).over(_upto(by)) for n in terms})
-
-    joined = grid.join(sums, [*by, "time"])
-
-    def second_moment(p: str, r: str) -> Column:
-        gp, gr = F.col(f"g_{p}"), F.col(f"g_{r}")
-        return (
-            F.col(f"oo_{p}_{r}") + gp * F.col(f"wo_{r}") + gr * F.col(f"wo_{p}")
-            + gp * gr * F.col("w2") + F.col(f"ee_{p}_{r}")
-        )
-
-    out = {}
-    for c in causes:
-        risk = F.col(f"risk_{c}")
-        variance = (
-            second_moment(f"p_{c}", f"p_{c}")
-            - 2 * risk * second_moment("q", f"p_{c}")
-            + risk * risk * second_moment("q", "q")
-        )
-        out[f"se_{c}"] = F.sqrt(F.greatest(variance, F.lit(0.0)))
-    joined = joined.withColumns(out)
+    changes = exact.moments(written(spans, "influence"), by, parts)
+    at = grid.select(*by, "time", "n_risk", "surv", *[f"n_{c}" for c in causes], *[f"g_{p}" for p in parts], *[F.col(f"risk_{c}").alias(f"risk_p_{c}") for c in causes])
+    joined = exact.variances(at, changes, by, parts)
+    joined = joined.withColumns({f"risk_{c}": F.col(f"risk_p_{c}") for c in causes} | {f"se_{c}": F.sqrt(f"var_p_{c}") for c in causes})
     bounds = {}
     for c in causes:
         risk = F.when((F.col(f"risk_{c}") > 0) & (F.col(f"risk_{c}") < 1), F.col(f"risk_{c}"))

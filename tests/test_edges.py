@@ -357,3 +357,41 @@ def test_folders_are_written_by_content(spark, tmp_path):
     assert count["F"] == 1 and count["M"] > 4
     back = files.read_stratum(spark, str(tmp_path), "sex", "M", df.schema)
     assert back.count() == 59_950
+
+
+def test_robust_errors_after_heavy_weights_have_left(spark):
+    """Weights up to 1e13 that leave early take nothing from the errors of what stays, against exact derivatives."""
+    from fractions import Fraction
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        heavy = i < 6
+        start, w = 50 + rng.randrange(4) / 4, rng.choice([1e13, 3.3e12]) if heavy else rng.choice([0.001, 0.7, 1.0, 2.5])
+        for k in range(1 if heavy else rng.randrange(2, 6)):
+            stop = start + rng.randrange(1, 4) / 4
+            rows.append([i, 0, start, stop, 0, w * (1 + k / 7)])
+            start = stop + (rng.randrange(3) == 0) * 0.25
+        rows[-1][4] = 0 if heavy else rng.randrange(3)
+    df = spark.createDataFrame([tuple(r) for r in rows], "bene_id int, exposed int, a double, b double, event int, w double")
+    got = {r["time"]: r for r in survival.robust_incidence(df, start="a", stop="b", weight=F.col("w")).collect()}
+    times = sorted({r[3] for r in rows if r[4] > 0})
+    var = {t: [0.0, 0.0] for t in times}
+    for i in range(40):
+        # Curves with their derivatives by the person's share, in whole fractions.
+        s, ds, f, df_ = Fraction(1), Fraction(0), [Fraction(0)] * 2, [Fraction(0)] * 2
+        for t in times:
+            w, own = lambda some: sum((Fraction(r[5]) for r in some), Fraction(0)), lambda some: [r for r in some if r[0] == i]
+            risk = [r for r in rows if r[2] < t <= r[3]]
+            had = [[r for r in risk if r[3] == t and r[4] == k] for k in (1, 2)]
+            y, dy = w(risk), w(own(risk))
+            h = [w(x) / y for x in had]
+            dh = [(w(own(x)) * y - w(x) * dy) / (y * y) for x in had]
+            f, df_ = [a + s * b for a, b in zip(f, h)], [a + ds * b + s * c for a, b, c in zip(df_, h, dh)]
+            s, ds = s * (1 - sum(h)), ds * (1 - sum(h)) - s * sum(dh)
+            for k in (0, 1):
+                var[t][k] += float(df_[k] ** 2)
+    assert set(got) == set(times) and len(times) > 8
+    for t in times:
+        for k, name in enumerate(("primary", "competing")):
+            assert got[t][f"se_{name}"] == pytest.approx(var[t][k] ** 0.5, rel=1e-9, abs=1e-14)
