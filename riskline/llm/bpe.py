@@ -33,7 +33,7 @@ END = 0x10000
 CONTROL = re.compile("[\x1c-\x1f]")
 BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 #: Chunks, pre-tokens and token pairs that a worker remembers, and their longest length: bounds its memory, not the result.
-CHUNKS, PIECES, PAIRS, CACHED_CHARS = 200_000, 800_000, 2_000_000, 48
+CHUNKS, PIECES, PAIRS, CACHED_CHARS = 400_000, 800_000, 2_000_000, 48
 #: Below this character nothing composes with its neighbours, so normal form C changes nothing; of these only
 #: the dotted capital I becomes two characters in lower case.
 SIMPLE, DOTTED = "\u0300", "\u0130"
@@ -124,6 +124,7 @@ class Encoder:
         self._learn(vocab, merges)
         self.automaton = Automaton(self._reachable(vocab, merges))
         self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
         self.known: dict[str, tuple[bytes, str]] = {}
         self.fits: dict[int, bool] = {}
         self.split = self._simple_split(described)
@@ -242,14 +243,16 @@ class Encoder:
 
     def chunk(self, chunk: str) -> tuple[bytes, str]:
         """Ids and decoded text of a run without white space."""
-        if self.split and max(chunk) < SIMPLE and DOTTED not in chunk:
-            pieces = self._simple(chunk)
-        else:
-            pieces = [p for p, _ in self.pieces(self.normalize(chunk))]
-        made = self.piece(pieces[0]) if len(pieces) == 1 else self._joined([self.piece(p) for p in pieces])
+        made = self.chunks.get(chunk) or self.older.get(chunk)
+        if made is None:
+            if self.split and max(chunk) < SIMPLE and DOTTED not in chunk:
+                pieces = self._simple(chunk)
+            else:
+                pieces = [p for p, _ in self.pieces(self.normalize(chunk))]
+            made = self.piece(pieces[0]) if len(pieces) == 1 else self._joined([self.piece(p) for p in pieces])
         if len(chunk) <= CACHED_CHARS:
-            if len(self.chunks) >= CHUNKS:
-                self.chunks.clear()
+            if len(self.chunks) >= CHUNKS:  # what is still in use comes back from the older half
+                self.older, self.chunks = self.chunks, {}
             self.chunks[chunk] = made
         return made
 
