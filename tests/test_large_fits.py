@@ -6,6 +6,7 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
@@ -94,3 +95,35 @@ def test_probabilities_are_those_of_the_expressions(spark, fit):
     for k, row in a.items():
         for x, y in zip(row, b[k], strict=True):
             assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-12)
+
+
+def test_rows_are_unpacked_once_not_in_every_pass(spark, monkeypatch, tmp_path):
+    """Passes read packed blocks; the rows themselves reach Python once."""
+    table = written(people(spark).withColumn("freq", F.lit(1)).coalesce(1), "one-file")
+    model = glm.Logit("m", "screen", (glm.Numeric("screen_1"), glm.Category("race", (1, 2, 3))), by=("exposed",))
+    plain, plain_products = glm.chunks, glm._cross_products
+
+    def noted(batches, *more):
+        for rows in plain(batches, *more):
+            open(os.path.join(tmp_path, f"rows-{os.urandom(8).hex()}-{len(rows)}"), "w").close()
+            yield rows
+
+    def product(*given):
+        open(os.path.join(tmp_path, f"products-{os.urandom(8).hex()}"), "w").close()
+        return plain_products(*given)
+
+    monkeypatch.setattr(glm, "chunks", noted)
+    monkeypatch.setattr(glm, "_cross_products", product)
+    fits = glm.fit_logits(table, [model])
+    names = os.listdir(tmp_path)
+    assert set(fits) == {("m", 0), ("m", 1)}
+    assert sum(n.startswith("products") for n in names) >= 6
+    assert sum(int(n.split("-")[2]) for n in names if n.startswith("rows")) == 3000
+
+
+@pytest.mark.parametrize("values", [[1, 0, 1], [-1, 200], [2**40, -3], [0.5, None, 3.25], [1, None], [True, False], [b"\x00\x01", b"\x00\x00"], [-(2**63), 2**63 - 1]])
+def test_packed_numbers_are_those_given(values):
+    rows = pa.RecordBatch.from_arrays([pa.array(values)], ["c"]).to_pandas()
+    batch = pa.RecordBatch.from_arrays([pa.array([[4]]), pa.array([glm._packed(rows["c"])])], [glm.GROUP, "c"])
+    [(group, back)] = glm._unpacked([batch])
+    assert group == [4] and [None if v != v else v for v in back["c"].tolist()] == values
