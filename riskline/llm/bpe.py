@@ -20,8 +20,8 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
-import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -39,6 +39,8 @@ CHUNKS, PIECES, PAIRS, CACHED_CHARS = 400_000, 800_000, 2_000_000, 48
 SIMPLE, DOTTED = "\u0300", "\u0130"
 # The normaliser that lower-cases and the byte-level step, as tokenizer files write them.
 LOWER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+# The split pattern that leaves a run of letters whole.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
@@ -52,6 +54,10 @@ def _byte_chars() -> list[str]:
 BYTE_CHARS = _byte_chars()
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Automaton:
     """Generalised suffix automaton of sequences (strings, or tuples of words), each with its number."""
 
@@ -122,12 +128,14 @@ class Encoder:
         self.names = {i: t for t, i in (vocab | added).items()}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self._learn(vocab, merges)
-        self.automaton = Automaton(self._reachable(vocab, merges))
+        self.whole = self._reachable(vocab, merges)
+        self.automaton = Automaton(self.whole)
         self.chunks: dict[str, tuple[bytes, str]] = {}
         self.older: dict[str, tuple[bytes, str]] = {}
         self.known: dict[str, tuple[bytes, str]] = {}
         self.fits: dict[int, bool] = {}
         self.split = self._simple_split(described)
+        self.letters = self.split is not None and self.split.pattern == SPLIT
 
     def _simple_split(self, described: dict):
         """The split pattern, if the file's steps are those that ``_simple`` restates."""
@@ -140,7 +148,11 @@ class Encoder:
 
     def _simple(self, chunk: str) -> list[str]:
         """Pre-tokens of a chunk of simple characters, as the library makes them."""
-        return [p if p.isascii() and p.isprintable() else "".join([BYTE_CHARS[b] for b in p.encode()]) for p in self.split.findall(chunk.lower())]
+        text = chunk.lower()
+        pieces = [text] if self.letters and chunk.isalpha() else self.split.findall(text)
+        if chunk.isascii() and chunk.isprintable():
+            return pieces
+        return [p if p.isascii() and p.isprintable() else "".join([BYTE_CHARS[b] for b in p.encode()]) for p in pieces]
 
     def _marked(self, token: str) -> str:
         """The token with its end of word, if it has one, as a mark on its last character."""
@@ -191,6 +203,8 @@ class Encoder:
         """The ids of one pre-token."""
         if self.suffix:
             piece = piece[:-1] + chr(ord(piece[-1]) + END)
+        if (own := self.whole.get(piece)) is not None:
+            return [own]
         sam = self.automaton
         arcs, link, size, ends = sam.next, sam.link, sam.size, sam.ends
         fits, width = self.fits, self.width
@@ -212,8 +226,9 @@ class Encoder:
                     break
                 p = last[i - n]
                 key = p * width + t
-                ok = fits.get(key)
-                if ok is None:
+                try:
+                    ok = fits[key]
+                except KeyError:
                     ok = fits[key] = p >= 0 and self._border(self.right[p], self.left[t])
                 if ok:
                     last[i], back[i] = t, i - n
@@ -232,7 +247,7 @@ class Encoder:
         made = self.known.get(piece)
         if made is None:
             ids = self.tokens(piece)
-            made = np.array(ids, "<u4").tobytes(), " ".join([self.names[t] for t in ids])
+            made = _packed(ids), " ".join([self.names[t] for t in ids])
             if len(self.fits) > PAIRS:
                 self.fits.clear()
             if len(piece) <= CACHED_CHARS:
@@ -245,7 +260,7 @@ class Encoder:
         """Ids and decoded text of a run without white space."""
         made = self.chunks.get(chunk) or self.older.get(chunk)
         if made is None:
-            if self.split and max(chunk) < SIMPLE and DOTTED not in chunk:
+            if self.split and (chunk.isascii() or max(chunk) < SIMPLE and DOTTED not in chunk):
                 pieces = self._simple(chunk)
             else:
                 pieces = [p for p, _ in self.pieces(self.normalize(chunk))]
@@ -269,7 +284,7 @@ class Encoder:
         known = self.chunks
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
-                parts.append((np.array([self.added[part]], "<u4").tobytes(), part))
+                parts.append((_packed([self.added[part]]), part))
                 continue
             chunks = part.split() if CONTROL.search(part) is None else [c for c in BLANK.split(part) if c]
             found = list(map(known.get, chunks))

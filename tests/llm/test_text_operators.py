@@ -293,3 +293,15 @@ def test_long_names_of_licences():
         assert label(head + name.format("-NoDerivatives")) == ["cc-by-nd"]
     assert label("This work is " + name.format("")) == ["cc-by"]
     assert label("SPDX-License-Identifier: MIT") == ["mit"] and label("SPDX-License-Identifier: GPL-3.0-or-later") == ["gpl"]
+
+
+def test_bpe_takes_letters_and_whole_tokens_without_search():
+    """Runs of letters pass no split pattern, tokens no automaton; the ids stay those of the library."""
+    library, encoder = Tokenizer.from_file(PATH), bpe.Encoder(open(PATH, encoding="utf-8").read())
+    texts = ["The café ªº ŉame ǰ Ÿ STRASSE straße", "it's don't we'll 'tis x1y2 a\x1cb \x7f \x00z ² ʰ Aİ é"]
+    for text in texts:
+        ids, decoded = encoder.encode(text)
+        own = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == own and decoded == library.decode(own, skip_special_tokens=False)
+    encoder.split = encoder.automaton = None
+    assert encoder._simple("Word") == ["word"] and len(encoder.tokens("the")) == 1
