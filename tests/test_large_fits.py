@@ -6,6 +6,7 @@ import os
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark import TaskContext
@@ -127,3 +128,50 @@ def test_packed_numbers_are_those_given(values):
     batch = pa.RecordBatch.from_arrays([pa.array([[4]]), pa.array([glm._packed(rows["c"])])], [glm.GROUP, "c"])
     [(group, back)] = glm._unpacked([batch])
     assert group == [4] and [None if v != v else v for v in back["c"].tolist()] == values
+
+
+@pytest.mark.parametrize("size", [1, 3])
+def test_products_by_cell_are_those_of_the_rows(size):
+    """Categories and numbers of few values come in once a cell, wherever they stand in the model; missing terms too."""
+    rng = np.random.default_rng(7)
+    n = 400
+    rows = pd.DataFrame({
+        "age": rng.uniform(50, 60, n), "flag": rng.integers(0, 2, n).astype(float), "sum": rng.integers(0, 90, n),
+        "race__code": rng.choice([0.0, 1.0, 2.0, np.nan], n), "sex__code": rng.integers(0, 2, n), "y": rng.integers(0, 2, n),
+    })
+    terms = (glm.Numeric("flag"), glm.Category("race", (1, 2, 3)), glm.Spline("age", 50, 60), glm.Category("sex", ("F", "M")), glm.Numeric("sum"))
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+
+    class Table:
+        columns = list(rows)
+
+        def mapInArrow(self, pack, kind):
+            return glm._unpacked(pack(iter([batch])))
+
+    [(_, part)] = glm._blocks(Table(), (), size, terms)
+    assert sorted(part["age"]) == sorted(rows["age"])
+    x = glm._Cells(part).design(terms)
+    known = x.known()
+    assert x.shared.shape == (5, 16) and x.own.shape == (4, n) and known.sum() == rows["race__code"].notna().sum()
+    y, freq, beta = part["y"].to_numpy(float), rng.integers(0, 4, (n, size)), rng.normal(size=(size, 9)) / 9
+    dense = glm._design(part, terms)
+    for kept in (known, known & (part["sex__code"].to_numpy() == 1), np.zeros(n, bool)):
+        found = glm._cross_products(x[kept], y[kept], freq[kept], beta)
+        assert np.allclose(found, glm._cross_products(dense[kept], y[kept], freq[kept], beta), rtol=1e-9)
+        assert x[kept].shared.shape[1] <= 12
+
+
+def test_fits_take_products_by_cell(spark, monkeypatch, tmp_path):
+    """The products of a model's categories follow the patterns that occur, not the rows."""
+    table = written(people(spark).withColumn("freq", F.lit(1)).coalesce(1), "one-file")
+    model = glm.Logit("m", "screen", (glm.Numeric("screen_1"), glm.Spline("age_start", 50, 62), glm.Category("race", (1, 2, 3)), glm.Category("sex", ("F", "M"))))
+    plain = glm._cross_products
+
+    def noted(x, y, freq, beta):
+        open(os.path.join(tmp_path, f"{os.urandom(8).hex()}-{len(x)}-{getattr(x, 'shared', np.empty((0, len(x)))).shape[1]}"), "w").close()
+        return plain(x, y, freq, beta)
+
+    monkeypatch.setattr(glm, "_cross_products", noted)
+    glm.fit_logits(table, [model])
+    seen = {tuple(map(int, name.split("-")[1:])) for name in os.listdir(tmp_path)}
+    assert seen == {(3000, 12)}
