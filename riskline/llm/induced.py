@@ -13,8 +13,9 @@ they came, so the queue is a row of first-in first-out files with a heap of thei
 symbols.  It holds a bounded number of tuples in memory and the rest on disk, and
 all arrays as long as the text are mapped files: memory does not follow the
 text.  A block of tuples is handled at once where the text is of bytes; names are
-many and rare, so deeper levels go tuple by tuple.  Shared lengths are counted
-up to a cap.
+many and rare, so deeper levels go tuple by tuple.  A level whose names are fewer than
+half the tuples that a queue holds needs no files: it is sorted in memory, by ranks of
+doubled lengths.  Shared lengths are counted up to a cap.
 """
 
 from __future__ import annotations
@@ -457,6 +458,37 @@ def _matches(text, x: np.ndarray, y: np.ndarray, start: np.ndarray, stop: np.nda
     return out
 
 
+def _doubled(names: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes of ``names`` in order and the lengths shared with the one before, up to ``cap``, in memory.
+
+    A round orders suffixes that agree in as many names as the rounds before have compared by the rank of what follows.
+    A suffix alone in its rank keeps its place, so a round costs by those that are left.
+    """
+    m, reach = len(names), 1
+    order = np.argsort(names, kind="stable")
+    # Equal symbols have one rank, the place of the first; behind the end stands what is below all.
+    rank, ranks = np.full(m + 1, -1, np.int64), []
+    left, key = np.arange(m), names[order]
+    while True:
+        head = np.r_[True, key[1:] != key[:-1]]
+        rank[order[left]] = left[np.maximum.accumulate(np.where(head, np.arange(len(left)), 0))]
+        if reach <= cap:
+            ranks.append(rank.astype(np.int32))
+        left = left[~(head & np.r_[head[1:], True])]
+        if not len(left):
+            break
+        at = order[left]
+        key = rank[at] * (m + 1) + rank[np.minimum(at + reach, m)] + 1
+        by_key = np.argsort(key)
+        order[left], key = at[by_key], key[by_key]
+        reach *= 2
+    common = np.zeros(m, np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        x, y = np.minimum(order[1:] + common[1:], m), np.minimum(order[:-1] + common[1:], m)
+        common[1:] += (ranks[k][x] == ranks[k][y]).astype(np.int64) << k
+    return order, np.minimum(common, cap)
+
+
 def suffixes(text: np.ndarray, cap: int, folder: Folder) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of (positions, lengths shared with the suffix before, up to ``cap``) of all suffixes of ``text`` in order.
 
@@ -511,7 +543,9 @@ def suffixes(text: np.ndarray, cap: int, folder: Folder) -> Iterator[tuple[np.nd
         names = name + np.cumsum(~equal)
         name_of[own] = names
         name, last = int(names[-1]), int(own[-1])
-    if name + 1 < m:
+    if name + 1 < m <= HELD // 2:
+        order, common = _doubled(name_of, cap)
+    elif name + 1 < m:
         deeper, shared_names = Row(folder), Row(folder)
         for at, lengths in suffixes(name_of, cap, folder):
             deeper.extend(at)

@@ -9,7 +9,8 @@ smaller doc_id, or earlier in the document).  All strings are judged on the inpu
 2. Equal runs are brought together by the hash of their bytes, first in each
    batch and then by a shuffle.  All but the first copy of a run start later than
    it; the first copies stand for all of them in the sort.  Which runs a batch
-   leaves out depends on how rows are batched, so the runs are found once and written.
+   leaves out depends on how rows are batched, so the runs are found once, go through
+   one shuffle, and only what is left of them is written.
 3. First copies that may hold a window of another run (the same hash, and the same bytes on
    one side of it) or equal windows themselves go to shards by the hash.
    A task writes the runs of a shard to a file in order of place, and sorts its
@@ -32,6 +33,7 @@ import math
 import mmap
 import os
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +45,7 @@ from pyspark.sql.window import Window as W
 
 from riskline.llm import induced, winnow
 from riskline.llm.text import fresh
-from riskline.operators.lineage import fresh_path, remove_table, written
+from riskline.operators.lineage import written
 
 WINDOW, GRAM = 100, 32
 #: Mean bytes of a shard; a task's scratch files take some fifty times as much.
@@ -71,8 +73,9 @@ RUNS = "copy boolean, again boolean, several boolean, owner long, seg long, left
 def _runs(keyed: DataFrame, window: int, gram: int) -> DataFrame:
     """All runs of windows; ``copy`` marks those that start later than an equal one of the same batch.
 
-    ``copy`` follows the batches, so a second evaluation may mark others: it has to be written before
-    it is read twice.  Copies carry their place only.
+    ``copy`` follows the batches, so a second evaluation may mark others: all marks are to be read in one
+    pass, and the texts should come from files, which a repeated task reads in the same batches.  Copies
+    carry their place only, and a number of it as owner, so that they spread.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,9 +92,10 @@ def _runs(keyed: DataFrame, window: int, gram: int) -> DataFrame:
             new[1:] = (c["owner"][1:] != c["owner"][:-1]) | (c["seg"][1:] != c["seg"][:-1])
             head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             c["copy"] = ~np.logical_and.reduce([c[k] == c[k][head] for k in (*KEY, "first")])
+            c["owner"] = np.where(c["copy"], c["d"].view(np.uint64) + c["first"].astype(np.uint64) * np.uint64(winnow.BASE), c["owner"])
             c |= {k: c[k].view(np.int64) for k in ("owner", "seg")} | {k: c[k].astype(np.int32) for k in ("left", "right", "first", "last")}
             names = [f.split()[0] for f in RUNS.split(", ")]
-            hidden = {k: c["copy"] for k in ("again", "several", "owner", "seg", "left", "right")}
+            hidden = {k: c["copy"] for k in ("again", "several", "seg", "left", "right")}
             yield pa.RecordBatch.from_arrays([pa.array(c[k], mask=hidden.get(k)) for k in names], names)
 
     return keyed.mapInArrow(find, RUNS)
@@ -175,9 +179,14 @@ class _Shard:
                 yield (*key[:3], key[3] + first, key[3] + stop - 1)
 
 
+#: Seconds after which the JVM has been told of the plans that Python has dropped; a thread does so once a second.
+TOLD = 2
+
+
 def _released(spark: SparkSession) -> None:
     """Lets the driver drop plans that are done with, so that Spark removes their shuffle files now and not at its next collection."""
     gc.collect()
+    time.sleep(TOLD)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -220,13 +229,8 @@ def _sorted_out(shards: DataFrame, window: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """(z, d, b, first, last): runs of windows of each document that also start earlier."""
     spark, keyed, columns = docs.sparkSession, _keyed(docs), [*KEY, "first", "last"]
-    path = fresh_path(spark, "found")
-    _runs(keyed, window, gram).write.parquet(path)
-    runs = spark.read.schema(RUNS).parquet(path)
-    copies = written(runs.where("copy").select(*columns), "copies")
-    met = written(_met(runs), "runs")
-    # Both parts are tables of their own now, and all runs take as much room as the texts.
-    remove_table(spark, path)
+    # All runs take more room than the texts: they are shuffled as they are found, and what is left is written.
+    met = written(_met(_runs(keyed, window, gram)), "runs")
     _released(spark)
     open_runs = met.where("NOT later AND open")
     total = open_runs.agg(F.sum(F.col("last") - F.col("first") + window + 1)).first()[0] or 0
@@ -235,11 +239,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     spans = written(_sorted_out(cut, window), "spans")
     del cut
     _released(spark)
-    return spans.unionByName(met.where("later").select(*columns)).unionByName(copies)
+    return spans.unionByName(met.where("later").select(*columns))
 
 
 def _met(runs: DataFrame) -> DataFrame:
-    """The first of equal runs with whether it is open, that is, goes to the sort, and the later ones."""
+    """The first of equal runs with whether it is open, that is, goes to the sort, and the later ones.
+
+    Copies have no hash of their bytes and no side, so they change nothing for the runs that share a window group with them.
+    """
     per_run = W.partitionBy("owner", "seg").orderBy(*KEY, "first")
 
     def differ(*by: str) -> Column:
@@ -249,11 +256,11 @@ def _met(runs: DataFrame) -> DataFrame:
 
     # Equal windows of different runs agree in a side of the owner, unless that stands at several places.
     sides = (F.col("left") >= 0) & differ("left") | (F.col("right") >= 0) & differ("right")
-    met = runs.where("NOT copy").withColumns({
-        "open": F.col("again") | differ() & (F.max("several").over(W.partitionBy("owner")) | sides),
-        "n": F.rank().over(per_run),
+    met = runs.withColumns({
+        "open": ~F.col("copy") & (F.col("again") | differ() & (F.max("several").over(W.partitionBy("owner")) | sides)),
+        "later": F.col("copy") | (F.rank().over(per_run) > 1),
     })
-    return met.where("open OR n > 1").select("owner", *KEY, "first", "last", (F.col("n") > 1).alias("later"), "open")
+    return met.where("open OR later").select("owner", *KEY, "first", "last", "later", "open")
 
 
 def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:

@@ -18,7 +18,8 @@ import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 import public_tokenizers  # noqa: E402
 
-from riskline.llm import ann, catalog, html_extract, induced  # noqa: E402
+from riskline.llm import ann, catalog, html_extract, induced, suffix_dedup  # noqa: E402
+from riskline.operators import lineage  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -194,6 +195,37 @@ def test_suffix_order(held, monkeypatch):
             assert [(int(i), int(n)) for at, lengths in blocks for i, n in zip(at, lengths, strict=True)] == want
 
 
+def test_small_levels_are_sorted_in_memory(monkeypatch):
+    """Names that fit in memory do not go through the queue tuple by tuple; order and lengths are those of the queue."""
+
+    def slow(*args):
+        raise AssertionError("a small level went tuple by tuple")
+
+    rng = random.Random(2)
+    words = [bytes(rng.randint(97, 110) for _ in range(rng.randint(2, 9))) for _ in range(40)]
+    text = b" ".join(rng.choice(words) for _ in range(2_000)) + b"ab" * 300 + b" ".join(words * 3)
+    text = np.frombuffer(text, np.uint8)
+
+    def found():
+        with tempfile.TemporaryDirectory() as path:
+            return [(int(i), int(n)) for at, lengths in induced.suffixes(text, 100, induced.Folder(path)) for i, n in zip(at, lengths, strict=True)]
+
+    with monkeypatch.context() as m:
+        m.setattr(induced, "HELD", 7)
+        by_queue = found()
+    monkeypatch.setattr(induced, "_feed_names", slow)
+    assert found() == by_queue
+
+
+def test_runs_are_not_kept_beside_their_shuffle(spark):
+    """All runs take more room than the texts: only those that are left after the shuffle are written."""
+    before = set(lineage._MADE.get(spark.sparkContext.applicationId, []))
+    docs = spark.createDataFrame([(i, f"{i} " * 60 + "passage of words " * 12) for i in range(6)], "doc_id long, text string")
+    assert suffix_dedup.repeated_spans(docs).count()
+    made = set(lineage._MADE[spark.sparkContext.applicationId]) - before
+    assert sorted(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in made) == ["runs", "spans"]
+
+
 def test_recall_on_the_table(spark):
     rows = catalog.op3_ann(spark, "/root/testdata/sf0.01").collect()
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").toPandas()
